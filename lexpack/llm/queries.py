@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexpack.session import ship
-from lexpack.llm import decontaminate, langid, mixing, shards, simhash
+from lexpack.llm import decontaminate, embeddings, langid, lines, mixing, ngram, quality, shards, simhash, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_table(spark, sf_dir, "documents"))
 
@@ -34,8 +46,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_shards, op6_language, op7_mix, op8_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_embeddings, op3_ngram, op4_shards, op5_token_counts, op6_language, op7_mix, op8_simhash, op9_lines, op10_quality)}
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
