@@ -23,6 +23,8 @@ from lexpack.llm.text import encoded, extended, pieces
 
 BITS = 14
 SAMPLE = 10_000
+#: Distinct words are counted in runs of so many, the last of up to twice as many, or the share would fall with the length.
+RUN = 1000
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "word_length", "capitals", "distinct_words", "repeated_lines", "line_ends", "digits", "bars")
 _KIND = np.full(256, 4, np.uint8)  # 0 lower, 1 capital, 2 digit, 3 white space, 4 symbol, 5 beyond ASCII
@@ -33,15 +35,18 @@ _M = np.uint32(0x9E3779B1)
 def votes(text: bytes | None) -> list[int]:
     """One vote for each of LABELLERS; all abstain on a text without words."""
     t = text or b""
-    kinds, words, long, distinct = np.zeros(6, np.int64), 0, 0, set()
+    kinds, words, long, distinct, held = np.zeros(6, np.int64), 0, 0, 0, []
     for piece in pieces(t):
         kinds += np.bincount(_KIND[np.frombuffer(piece, np.uint8)], minlength=6)
         own = piece.split()
         words, long = words + len(own), long + sum(map(len, own))
-        if words <= 20_000:
-            distinct.update(own)
+        held += own
+        whole = max(0, len(held) // RUN - 1) * RUN
+        distinct += sum(len(set(held[at : at + RUN])) for at in range(0, whole, RUN))
+        held = held[whole:]
     if not words:
         return [ABSTAIN] * len(LABELLERS)
+    distinct += len(set(held))
     size = max(1, int(kinds.sum() - kinds[3]))
     lines = [x.strip() for x in t.split(b"\n") if x.strip()]
 
@@ -49,7 +54,7 @@ def votes(text: bytes | None) -> list[int]:
         return BAD if bad else GOOD if good else ABSTAIN
 
     symbols, capitals, digits, length = kinds[4] / size, kinds[1] / size, kinds[2] / size, long / words
-    spread = len(distinct) / min(words, 20_000)
+    spread = distinct / words
     repeats = 1 - len(set(lines)) / len(lines)
     ended = sum(x.endswith((b".", b"!", b"?", b'"', b"'", b":", b";", "…".encode(), "»".encode(), "。".encode())) for x in lines) / len(lines)
     return [
