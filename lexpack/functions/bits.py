@@ -18,7 +18,10 @@ def unpack_bits(data: bytes, count: int, width: int) -> np.ndarray:
     need = -(-count * width // 8)
     if len(data) < need:
         raise ValueError("the bit stream is cut off")
-    bits = np.unpackbits(np.frombuffer(data[:need], np.uint8), bitorder="little")[: count * width]
+    bits = np.unpackbits(np.frombuffer(data[:need], np.uint8), bitorder="little")
+    if bits[count * width :].any():
+        raise ValueError("the padding isn't zero")
+    bits = bits[: count * width]
     return (bits.reshape(count, width).astype(np.uint64) << np.arange(width, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
 
 

@@ -1,11 +1,13 @@
 """Data source ``lexpack``: folders of container files, batch and streaming, both ways.
 
 Reading gives (path, ordinal, data). A partition is one batch file or a run of an index file's records, so an index file of any
-size is read by many tasks and none of it twice. Filters ``ordinal = k`` and ``ordinal in (...)`` are pushed down: of an index only
-those records' streams are read. A count of records needs headers alone (``counts``). Writing makes one index or batch file a task.
+size is read by many tasks and none of it twice. The option ``ordinals`` (numbers with commas) gives those records only, and of an
+index only their streams are read. It is an option and no pushed filter because Spark 4.1 keeps a Python source's filtered plan for
+later reads of the same DataFrame, which would lack rows. A count of records needs headers alone (``counts``). Writing makes one
+index or batch file a task.
 
-Options: path; kind (index or batch, for writing); records (per partition, for reading indexes; 10,000); dictionary and vocabulary, as
-``handle`` gives them. Files are reached through ``pyarrow.fs``; where only Spark can read a store, use ``files.binary`` and
+Options: path; kind (index or batch, for writing); records (per partition, for reading indexes; 10,000); ordinals; dictionary and
+vocabulary, as ``handle`` gives them. Files are reached through ``pyarrow.fs``; where only Spark can read a store, use ``files.binary`` and
 ``containers.unpack``.
 """
 
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from lexpack.functions import container, stream
 from lexpack.functions.vocabulary import Vocabulary, _plain
@@ -135,22 +137,18 @@ class ContainerSource(DataSource):
 
 class ContainerReader(DataSourceReader):
     def __init__(self, options):
-        self.options, self.wanted = dict(options), None
-
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            values = (f.value,) if isinstance(f, EqualTo) else tuple(f.value) if isinstance(f, In) else None
-            if values is not None and tuple(f.attribute) == ("ordinal",) and all(isinstance(v, int) for v in values):
-                own = {v for v in values if v >= 0}
-                self.wanted = own if self.wanted is None else self.wanted & own
-            yield f  # Spark still checks every row, so that a pushed filter can only save work
+        self.options = dict(options)
+        asked = self.options.get("ordinals")
+        self.wanted = None if asked is None else tuple(sorted({int(x) for x in asked.split(",") if x.strip()}))
+        if self.wanted and self.wanted[0] < 0:
+            raise IndexError("a record number is not negative")
 
     def partitions(self):
         per = int(self.options.get("records", 10_000))
-        wanted = None if self.wanted is None else tuple(sorted(self.wanted))
-        return [p for path, _ in store.listed(self.options["path"], SUFFIX) for p in parts(path, per, wanted)]
+        return [p for path, _ in store.listed(self.options["path"], SUFFIX) for p in parts(path, per, self.wanted)]
 
     def read(self, partition):
+        # An empty folder has no partition, and Spark then reads one that is None.
         yield from batches(partition, self.options) if isinstance(partition, Part) else ()
 
 

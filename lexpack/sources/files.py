@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from lexpack.sources.store import put
 
 
 def binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, data) of whole files, through Spark's readers."""
+    """(path, data) of whole files, through Spark's readers, which leave out empty files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data"))
 
 
@@ -89,7 +87,3 @@ def write_records(rows: DataFrame, folder: str, ordinal: str = "ordinal", data:
     digits = F.col(ordinal).cast("string")
     name = F.concat(F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits), F.lit(".rec"))
     return _each(rows.select(name.alias("__n"), F.col(data).alias("data")), F.col("__n"), folder)
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(path)
