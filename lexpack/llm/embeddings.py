@@ -7,7 +7,8 @@ that exceed the threshold are list-decoded by walking the blocks' codewords from
 Vectors are joined on filters and every candidate pair is verified in double precision.
 
 The threshold follows from the number of distinct vectors: a filter takes about ``bucket`` of them if they are spread evenly and
-a vector has about ``lists`` filters, the best ``least`` of them in any case. At cosine 0.95 a pair then shares several filters;
+a vector has about ``lists`` filters, the best ``least`` of them in any case; caps are never narrower than ``WIDE`` times the angle
+of a pair. At cosine 0.95 a pair then shares several filters;
 a pair that shares none is missed (the tests measure recall). Equal vectors are one node, so copies cost nothing. A filter of
 more than ``block`` nodes is dealt out as pairs of blocks. A pair is counted only in the smallest filter that both have, inside
 the task, so pairs are never emitted: a task returns link counts and the links of a spanning forest.
@@ -33,6 +34,7 @@ LEAST = 10
 BUCKET = 64
 BLOCK = 1024
 PARTS = 3
+WIDE = 2.5
 
 
 def tail(z: float, dim: int) -> float:
@@ -65,10 +67,11 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
 class Code:
     """The product code for vectors of one length among about n."""
 
-    def __init__(self, dim: int, n: int, lists: int = LISTS, bucket: int = BUCKET, least: int = LEAST, seed: int = 2):
+    def __init__(self, dim: int, n: int, cosine: float = COSINE, lists: int = LISTS, bucket: int = BUCKET, least: int = LEAST, seed: int = 2):
         self.seed, self.least = seed, least
         d = 1 << max(2, (dim - 1).bit_length())
-        share = min(0.05, bucket / max(n, 1))
+        # In few dimensions a small cap is narrow against the angle of a pair, whose ends would then seldom lie in one.
+        share = max(min(0.05, bucket / max(n, 1)), tail(math.cos(min(WIDE * math.acos(max(-1.0, min(1.0, cosine))), math.pi / 2)), d))
         self.size = max(4, math.ceil((lists / share) ** (1 / PARTS)))
         low, high = -1.0, 1.0
         for _ in range(40):
@@ -113,8 +116,8 @@ class Code:
 
 
 @lru_cache(8)
-def code_for(dim: int, n: int, lists: int, bucket: int, least: int) -> Code:
-    return Code(dim, n, lists, bucket, least)
+def code_for(dim: int, n: int, cosine: float, lists: int, bucket: int, least: int) -> Code:
+    return Code(dim, n, cosine, lists, bucket, least)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -189,7 +192,7 @@ def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                 at = np.flatnonzero(lengths == dim)
                 for part in np.array_split(at, max(1, len(at) * dim // 1_000_000)):
                     x = unit(np.stack([np.frombuffer(blobs[i], np.float64) for i in part]))
-                    found = code_for(dim, n, lists, bucket, least).decode(x)
+                    found = code_for(dim, n, cosine, lists, bucket, least).decode(x)
                     each = pa.array(np.repeat(part, [len(f) for f in found]))
                     arrays = [batch.column(0).take(each), batch.column(2).take(each), batch.column(1).take(each), pa.array([dim] * len(each)), pa.array([g for f in found for g in f], pa.int64()), pa.array([f for f in found for _ in f], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["node", "copies", "v", "dim", "f", "filters"])
