@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from itertools import accumulate
+from operator import sub
 
 import numpy as np
 
@@ -25,12 +26,16 @@ def normalise(counts, log: int | None = None, total: int | None = None) -> np.nd
     of the counts where a model counts mass beyond them.
     """
     log = LOG if log is None else log
-    c = np.asarray(counts, np.int64)
-    n, m = len(c), 1 << log
+    n, m = len(counts), 1 << log
     if n == 0 or n > m:
         raise ValueError(f"{n} symbols can't share {m} slots")
     if n == 1:
         return np.array([m])
+    if n <= _FEW:
+        f = _few(counts, n, m, total)
+        if f is not None:
+            return np.array(f)
+    c = np.asarray(counts, np.int64)
     if (c <= 0).any():
         raise ValueError("counts must be positive")
     total = int(c.sum()) if total is None else total
@@ -51,6 +56,23 @@ def normalise(counts, log: int | None = None, total: int | None = None) -> np.nd
     return f
 
 
+#: Tables of up to so many symbols are normalised without arrays where the rule's first round suffices.
+_FEW = 128
+
+
+def _few(counts, n: int, m: int, total: int | None) -> list[int] | None:
+    if min(counts) <= 0:
+        return None
+    total = total or sum(counts)
+    f = [c * m // total or 1 for c in counts]
+    short = m - sum(f)
+    if not 0 <= short <= n or max(f) >= m - n:
+        return None
+    for i in range(short):
+        f[i] += 1
+    return f
+
+
 class Table:
     """Symbols with frequencies: intervals by symbol, and symbols by slot."""
 
@@ -59,25 +81,29 @@ class Table:
     def __init__(self, symbols: list[int], freqs: list[int]):
         self.symbols, self.freqs = symbols, freqs
         self.starts = [0, *accumulate(freqs)][:-1]
-        self.at: dict[int, int] | None = None
+        self.at: dict[int, tuple[int, int]] | None = None
 
     @classmethod
     def of(cls, symbols: list[int], counts, total: int | None = None) -> Table:
+        if 1 < len(symbols) <= _FEW:
+            f = _few(counts, len(symbols), 1 << LOG, total)
+            if f is not None:
+                return cls(symbols, f)
         return cls(symbols, normalise(counts, total=total).tolist())
 
-    def interval(self, symbol: int) -> tuple[int, int] | None:
+    def intervals(self) -> dict[int, tuple[int, int]]:
         if self.at is None:
-            self.at = {s: i for i, s in enumerate(self.symbols)}
-        i = self.at.get(symbol)
-        return None if i is None else (self.starts[i], self.freqs[i])
+            self.at = dict(zip(self.symbols, zip(self.starts, self.freqs, strict=True), strict=True))
+        return self.at
+
+    def interval(self, symbol: int) -> tuple[int, int] | None:
+        return (self.at or self.intervals()).get(symbol)
 
     def to_bytes(self) -> bytes:
         """Ascending symbols as differences, each with its frequency less one."""
-        last, out = 0, [varint(len(self.symbols))]
-        for s, f in zip(self.symbols, self.freqs, strict=True):
-            out += [varint(s - last), varint(f - 1)]
-            last = s
-        return b"".join(out)
+        steps = map(varint, map(sub, self.symbols, [0, *self.symbols]))
+        sizes = [varint(f - 1) for f in self.freqs]
+        return varint(len(self.symbols)) + b"".join([x for pair in zip(steps, sizes, strict=True) for x in pair])
 
     @classmethod
     def read(cls, source: Source, below: int) -> Table:

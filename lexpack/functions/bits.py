@@ -25,8 +25,14 @@ def unpack_bits(data: bytes, count: int, width: int) -> np.ndarray:
     return (bits.reshape(count, width).astype(np.uint64) << np.arange(width, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
 
 
+#: The numbers of up to two bytes, ready-made.
+_SHORT = [bytes([i]) for i in range(128)] + [bytes([i & 127 | 128, i >> 7]) for i in range(128, 1 << 14)]
+
+
 def varint(value: int) -> bytes:
     """LEB128 of a number from 0 to 2**64 - 1."""
+    if 0 <= value < len(_SHORT):
+        return _SHORT[value]
     if not 0 <= value < 1 << 64:
         raise ValueError("a variable-length number holds 0 to 64 bits")
     out = bytearray()

@@ -57,7 +57,9 @@ class Static:
         if not ids:
             return varint(0), []
         table = Table.of(ids, values)
-        escape = table.interval(alphabet) if others else None
+        if not others:
+            return table.to_bytes(), list(map(table.intervals().__getitem__, symbols))
+        escape = table.interval(alphabet)
         listed = [s for s in symbols if table.interval(s) is None]
         return table.to_bytes() + b"".join(map(varint, listed)), [table.interval(s) or escape for s in symbols]
 
@@ -86,16 +88,17 @@ class Static:
 
 
 class Adaptive:
-    """Counts of earlier chunks plus one; symbols without a place of their own share the escape."""
+    """Counts of earlier chunks plus one; symbols without a place of their own share the escape. Chunks grow with what was seen."""
 
     def __init__(self, ids: list[int], others: bool, n: int, alphabet: int):
         self.ids, self.escape = [*ids, alphabet] if others else ids, alphabet
         self.size = chunk_size(n, len(self.ids))
-        self.counts, self.seen, self.table = dict.fromkeys(self.ids, 1), 0, None
+        self.counts, self.seen, self.table, self.renew = dict.fromkeys(self.ids, 1), 0, None, 0
 
     def current(self) -> Table:
-        if self.seen % self.size == 0 or self.table is None:
-            self.table = Table.of(self.ids, [self.counts[s] for s in self.ids])
+        if self.seen >= self.renew:
+            self.table = Table.of(self.ids, list(self.counts.values()))
+            self.renew = self.seen + max(self.size, self.seen >> 4)
         return self.table
 
     def update(self, symbol: int) -> None:
@@ -122,32 +125,44 @@ class Adaptive:
 
 
 class Context(Adaptive):
-    """As Adaptive, tried after the table of the previous symbol; those are rebuilt at chunk ends where they have changed."""
+    """As Adaptive, tried after the table of the previous symbol; those are rebuilt at chunk ends where they have grown by an eighth."""
 
     def __init__(self, ids: list[int], others: bool, n: int, alphabet: int):
         super().__init__(ids, others, n, alphabet)
-        self.after: dict[int, Counter] = {}
+        self.after: dict[int, dict[int, int]] = {}
         self.tables: dict[int, Table] = {}
+        self.totals: dict[int, int] = {}
+        self.due: dict[int, int] = {}  # the transitions at which a context's table is built anew
         self.dirty: set[int] = set()
         self.last = -1
 
     def context(self) -> Table | None:
         if self.seen % self.size == 0 and self.dirty:
             for c in self.dirty:
-                own = self.after[c]
-                if own.total() >= SUPPORT:
-                    ids = sorted(own)
-                    if len(ids) <= cap():
-                        self.tables[c] = Table.of([*ids, self.escape], [*(own[s] for s in ids), len(ids)])
+                own, total = self.after[c], self.totals[c]
+                ids = sorted(own)
+                if len(ids) <= cap():
+                    self.tables[c] = Table.of([*ids, self.escape], [*(own[s] for s in ids), len(ids)])
+                self.due[c] = total + max(1, total >> 3)
             self.dirty.clear()
         return self.tables.get(self.last)
 
     def note(self, symbol: int) -> None:
         # A symbol without a place of its own is no one's successor and nobody's context.
-        if symbol in self.counts and self.last >= 0:
-            self.after.setdefault(self.last, Counter())[symbol] += 1
-            self.dirty.add(self.last)
-        self.last = symbol if symbol in self.counts else -1
+        last = self.last
+        if symbol not in self.counts:
+            self.last = -1
+            return
+        if last >= 0:
+            own = self.after.get(last)
+            if own is None:
+                own = self.after[last] = {}
+                self.totals[last] = 0
+            own[symbol] = own.get(symbol, 0) + 1
+            self.totals[last] = total = self.totals[last] + 1
+            if total >= self.due.get(last, SUPPORT):
+                self.dirty.add(last)
+        self.last = symbol
 
     def code(self, symbol: int) -> list[tuple[int, int]]:
         table, out = self.context(), []
@@ -180,13 +195,14 @@ class Context(Adaptive):
 
 
 def _adaptive_encode(kind: type, symbols: list[int], alphabet: int):
+    """The header and, for each symbol, its intervals."""
     ids, others = kept(Counter(symbols))
     if not ids:
         return ids_to_bytes([]) + b"\0" + varint(0), []
     model = kind(ids, others, len(symbols), alphabet)
     listed = [s for s in symbols if not model.place(s)] if others else []
-    intervals = [x for s in symbols for x in model.code(s)]
-    return ids_to_bytes(ids) + bytes([others]) + varint(len(listed)) + b"".join(map(varint, listed)), intervals
+    steps = [model.code(s) for s in symbols]
+    return ids_to_bytes(ids) + bytes([others]) + varint(len(listed)) + b"".join(map(varint, listed)), steps
 
 
 def _adaptive_header(kind: type, source: Source, n: int, alphabet: int):
@@ -208,11 +224,10 @@ class _StaticLiterals:
     def encode(symbols, alphabet):
         head, intervals = Static.encode(symbols, alphabet)
         listed = 0
-        counts = Counter(symbols)
-        if len(counts) > cap():
+        if len(symbols) > cap() and len(counts := Counter(symbols)) > cap():
             ids = set(kept(counts)[0])
             listed = sum(s not in ids for s in symbols)
-        return varint(listed) + head, intervals
+        return varint(listed) + head, [(x,) for x in intervals]
 
     def __init__(self, source, n, alphabet):
         listed = _bounded(source, source.varint())
@@ -257,8 +272,7 @@ def encode_events(events, mode: int, flag: int, trained=None) -> bytes:
         head, own = _SPLIT[mode].encode(literals, flag)
         roles, high, low, length = (iter(x[1]) for x in coded)
         # In the order a reader needs them; a literal is coded by one interval or more.
-        steps = _grouped(literals, own, mode)
-        order = []
+        order, steps = [], iter(own)
         for role, _, _ in events:
             order.append(next(roles))
             order += (next(high), next(low), next(length)) if role else next(steps)
@@ -268,25 +282,8 @@ def encode_events(events, mode: int, flag: int, trained=None) -> bytes:
         return varint(len(symbols)) + pack_bits(symbols, flag.bit_length())
     if mode == DICTIONARY:
         return varint(len(symbols)) + _dictionary_encode(symbols, trained)
-    head, intervals = _FLAT[mode].encode(symbols, flag + 1)
-    return varint(len(symbols)) + head + flush(intervals)
-
-
-def _grouped(literals, intervals, mode):
-    """The intervals of each literal in turn."""
-    if mode != CONTEXT_SPLIT:
-        yield from ([x] for x in intervals)
-        return
-    ids, others = kept(Counter(literals))
-    model = Context(ids, others, len(literals), None) if ids else None
-    it = iter(intervals)
-    for s in literals:
-        table = model.context()
-        model.current()
-        n = 1 if table is None or table.interval(s) else 2
-        model.note(s)
-        model.update(s)
-        yield [next(it) for _ in range(n)]
+    head, steps = _FLAT[mode].encode(symbols, flag + 1)
+    return varint(len(symbols)) + head + flush([x for step in steps for x in step])
 
 
 def decode_events(source: Source, mode: int, flag: int, most: int, trained=None):
