@@ -20,7 +20,9 @@ any two are taken for one is about 1e-5. Counts cover all training documents; no
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ CHUNK_BYTES = 4 << 20
 _BOS, _END = 0, 1
 _BOS_KEY, _END_KEY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ONE = np.uint64(1)
+_NONE = 9.0  # no log-probability
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,17 +56,18 @@ class Chunk:
     """Texts as numbered tokens: a start mark, the words and one end for each; and the distinct n-grams of every order."""
 
     def __init__(self, texts: list[bytes | None], order: int = ORDER):
-        words: dict[bytes, int] = {b" start": _BOS, b" end": _END}  # no word holds a blank
-        ids, sizes = [], []
+        read, sizes = [], []
         for t in texts:
-            ids.append(_BOS)
-            before = len(ids)
+            read.append(b" start")  # no word holds a blank
+            before = len(read)
             for piece in pieces((t or b"").translate(LOWER)):
-                ids.extend([words.setdefault(w, len(words)) for w in piece.split()])
-            ids.append(_END)
-            sizes.append(len(ids) - before)
+                read += piece.split()
+            read.append(b" end")
+            sizes.append(len(read) - before)
+        words = defaultdict(itertools.count(2).__next__, {b" start": _BOS, b" end": _END})
+        self.ids, self.sizes = np.fromiter(map(words.__getitem__, read), np.int64, len(read)), np.array(sizes, np.int64)
         self.order, self.n_words = order, len(words)
-        self.ids, self.sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+        del read
         self.first = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.doc = np.repeat(np.arange(len(texts)), self.sizes + 1)
         place = np.arange(len(self.ids)) - self.first[self.doc] if len(texts) else np.zeros(0, np.int64)
@@ -98,55 +102,49 @@ class Chunk:
         known = np.bincount(self.doc[real], weights=single[self.ids[real]] > 0, minlength=docs).astype(np.int64)
         base = np.bincount(self.doc[real], weights=log_p[self.ids[real]], minlength=docs)
 
-        # States: 0 is the root; every seen n-gram shorter than the order is the state that has just read it.
-        state = np.zeros(len(self.keys), np.int64)
-        arcs, weights, targets = [np.arange(self.n_words)], [log_p], [np.zeros(self.n_words, np.int64)]
-        fail, bow, prob = [np.zeros(1, np.int64)], [np.zeros(1)], np.zeros(len(self.keys))
+        # The automaton at each position: by depth, the weight of the arc that the position's word takes from a state of that
+        # depth (_NONE where there is no arc), and the weight of the failure arc of the state that the position leaves behind.
+        prob = np.zeros(len(self.keys))
         prob[self.of[0]] = p[self.ids]
-        end = np.zeros(len(self.keys), bool)
-        end[self.of[0]] = self.ids == _END
-        total = 1
-        for k in range(1, self.order + 1):
+        arcs, fails = [log_p[self.ids]], []
+        for k in range(2, self.order + 1):
             grams, where = np.unique(self.of[k - 1], return_index=True)
             at = self.at[k - 1][where]
-            word = self.ids[at]
-            if k > 1:
-                lower = np.full(len(self.ids), -1)
-                lower[self.at[k - 2]] = self.of[k - 2]
-                shorter, history = lower[at], lower[at - 1]
-                prob[grams] = (counts[grams] + mu * prob[shorter]) / (counts[history] + mu)
-                end[grams] = word == _END
-            seen = counts[grams] > 0
-            if k < self.order:
-                new = grams[seen & ~end[grams]]
-                state[new] = np.arange(total, total + len(new))
-                total += len(new)
-                fail.append(state[shorter[seen & ~end[grams]]] if k > 1 else np.zeros(len(new), np.int64))
-                bow.append(np.log10(mu / (counts[new] + mu)))
-            if k == 1:
-                targets[0][word] = state[grams]
-            else:
-                arcs.append(state[history[seen]] * self.n_words + word[seen])
-                weights.append(np.log10(prob[grams[seen]]))
-                targets.append(state[grams[seen]] if k < self.order else state[shorter[seen]])
-        arc = dict(zip(np.concatenate(arcs).tolist(), range(sum(map(len, arcs))), strict=True))
-        weight, target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        fail, bow = np.concatenate(fail).tolist(), np.concatenate(bow).tolist()
-        start = int(state[self.of[0][self.first[0]]]) if docs else 0
-
-        ids, find, width, out = self.ids.tolist(), arc.get, self.n_words, []
+            lower = np.full(len(self.ids), -1)
+            lower[self.at[k - 2]] = self.of[k - 2]
+            shorter, history = lower[at], lower[at - 1]
+            prob[grams] = (counts[grams] + mu * prob[shorter]) / (counts[history] + mu)
+            arc, fail = np.full(len(self.ids), _NONE), np.zeros(len(self.ids))
+            own = self.of[k - 1]
+            seen = counts[own] > 0
+            arc[self.at[k - 1][seen]] = np.log10(prob[own[seen]])
+            fail[self.at[k - 2]] = np.log10(mu / (counts[self.of[k - 2]] + mu))
+            arcs.append(arc)
+            fails.append(fail)
+        known_word = single[self.ids] > 0
+        del prob
+        out = self._traverse(list(zip(*(x.tolist() for x in arcs), strict=True)), list(zip(*(x.tolist() for x in fails), strict=True)) or [()] * len(self.ids), known_word.tolist())
+        return known, base, np.array(out)
+
+    def _traverse(self, arcs: list[tuple], fails: list[tuple], known: list[bool]) -> list[float]:
+        """The log-probability of each document, from left to right; the state is known by its depth, the length of its history."""
+        deepest, out = self.order - 1, []
         for a, size in zip(self.first.tolist(), self.sizes.tolist(), strict=True):
-            s, found = start, 0.0
-            for w in ids[a + 1 : a + 1 + size]:
-                j = find(s * width + w)
-                while j is None:
-                    found += bow[s]
-                    s = fail[s]
-                    j = find(s * width + w)
-                found += weight[j]
-                s = target[j]
+            depth, found = deepest and int(known[a]), 0.0
+            for i in range(a + 1, a + 1 + size):
+                arc = arcs[i]
+                weight = arc[depth]
+                if weight == _NONE:
+                    fail = fails[i - 1]
+                    while weight == _NONE:
+                        depth -= 1
+                        found += fail[depth]
+                        weight = arc[depth]
+                found += weight
+                if depth < deepest and (depth or known[i]):
+                    depth += 1
             out.append(found)
-        return known, base, np.array(out)
+        return out
 
 
 def packed(values: np.ndarray) -> bytes:
