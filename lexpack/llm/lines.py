@@ -77,7 +77,8 @@ def _once(docs: DataFrame, doc_id: str, text: str, least_lines: int, seed: int,
     schema = T.StructType([slim.schema["row"], slim.schema["d"], T.StructField("k", T.IntegerType()), T.StructField("h", T.BinaryType())])
     places = stored(slim.mapInArrow(index, schema), "line-chunks")
     place = F.struct(F.col("d").isNull().alias("n"), "d", "row", "k")
-    repeated = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h", F.col("first.row").alias("r"), F.col("first.k").alias("j"))
+    # Stored, so that both sides of the join below are shuffled for it alone and Spark can split a frequent chunk's rows.
+    repeated = stored(places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h", F.col("first.row").alias("r"), F.col("first.k").alias("j")), "line-repeats")
     flagged = places.join(repeated, "h").groupBy("row").agg(F.collect_list(F.struct("k", "h", ((F.col("row") == F.col("r")) & (F.col("k") == F.col("j"))).alias("first"))).alias("__flags"))
     joined = rows.join(flagged.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
     own = [c for c in docs.columns if c != text]
