@@ -6,6 +6,7 @@ they match their SQL only if the codec loses nothing; the tests also hold the st
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from lexpack.functions import stream
 from lexpack.functions.vocabulary import Vocabulary
 from lexpack.operators import codec, containers, dictionary, profile, tables, tokens, training
-from lexpack.session import cut, ship
+from lexpack.session import cut, shared_dir, ship
+from lexpack.sources import container as source
+from lexpack.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,9 +168,50 @@ def context_escape_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size.join(whole, F.col("source").eqNullSafe(F.col("s"))).select("source", F.col("a").alias("context"), "total", "escape", tables.order0_escape(F.col("t")).alias("order0_escape"))
 
 
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols between two table updates for each document's bytes: the fixed least, or more where tables are large."""
+    rows = records(spark, sf_dir)
+    n, k = F.octet_length("data").cast("long"), F.size(F.array_distinct(bytes_column(rows))).cast("long")
+    return rows.select("id", F.greatest(F.lit(256).cast("long"), F.floor(n * k / F.lit(2_000_000)).cast("long")).alias("size"))
+
+
+def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By document: places whose two bytes occurred before, within 32,768 places, and the sum of distances to the latest of those."""
+    rows = records(spark, sf_dir)
+    each = profile.exploded(rows, ["id"], bytes_column(rows))
+    w = Window.partitionBy("id").orderBy("pos")
+    pairs = each.withColumn("b", F.lead("token").over(w)).where("b is not null")
+    back = F.col("pos") - F.lag("pos").over(Window.partitionBy("id", "token", "b").orderBy("pos"))
+    return pairs.withColumn("back", back).where("back <= 32768").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("back").cast("long").alias("distance"))
+
+
+def cascade_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of each document under tables by previous byte where it has one of the 64 best contexts, else under the common table."""
+    rows = records(spark, sf_dir)
+    each = profile.exploded(rows, ["id"], bytes_column(rows)).withColumnRenamed("token", "symbol")
+    each = each.withColumn("context", F.coalesce(F.lag("symbol").over(Window.partitionBy("id").orderBy("pos")), F.lit(-1)))
+    counted = each.groupBy("id", "context", "symbol").agg(F.count(F.lit(1)).alias("k"))
+    order1 = context_tables(spark, sf_dir).where("symbol < 257").select(F.col("context").alias("c"), F.col("symbol").alias("s"), F.col("freq").alias("f1"))
+    escape = context_tables(spark, sf_dir).where("symbol = 257").select(F.col("context").alias("c"), F.col("freq").alias("fe"))
+    one = counted.groupBy("symbol").agg(F.sum("k").alias("n")).withColumn("t", F.lit(0))
+    order0 = tables.normalised(one, ["t"], "symbol", "n").select(F.col("symbol").alias("s"), F.col("freq").alias("f0"))
+    joined = counted.join(order1, (F.col("context") == F.col("c")) & (F.col("symbol") == F.col("s")), "left").drop("c", "s")
+    joined = joined.join(F.broadcast(escape), F.col("context") == F.col("c"), "left").drop("c").join(F.broadcast(order0), F.col("symbol") == F.col("s"))
+    bits = F.coalesce(16 - F.log2("f1"), F.coalesce(16 - F.log2("fe"), F.lit(0.0)) + 16 - F.log2("f0"))
+    return joined.groupBy("id").agg(F.round(F.sum(F.col("k") * bits), 3).alias("bits"))
+
+
 # Choice of priming text.
 
 
+def priming_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces each document gives to the first 4,096 of all documents in order; the running sum sees as many rows as can matter."""
+    rows = _pieces(spark, sf_dir).select("id", F.size("tokens").cast("long").alias("n")).where("n > 0").orderBy("id").limit(dictionary.PRIMING)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.least(F.col("n"), dictionary.PRIMING - F.col("before"))
+    return rows.withColumn("before", before).where(F.col("before") < dictionary.PRIMING).select("id", taken.cast("long").alias("taken"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("id", tokens.pieces(F.col("text")).alias("tokens"))
 
@@ -285,6 +329,46 @@ def roundtrip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", codec.lz_replay()("e").cast("string").alias("text"))
 
 
+def stream_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes that the headers of the documents' streams declare, read without decoding."""
+    h = records(spark, sf_dir).select("id", codec.parse_header()(codec.compress(fast=True)("data")).alias("h"))
+    return h.select("id", F.col("h.size").alias("n_bytes"), F.col("h.error").isNull().alias("readable"))
+
+
+def damaged_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' streams with their last byte changed, or cut by one: what is not found out."""
+    blobs = records(spark, sf_dir).select("id", codec.compress(fast=True)("data").alias("b"))
+    n = F.octet_length("b")
+    last = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring("b", n, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(255))), 2, "0"))
+    head = F.substring("b", F.lit(1), n - 1)
+    bad = blobs.select("id", F.explode(F.array(F.concat(head, last), head)).alias("b"))
+    return bad.select("id", codec.try_decompress()("b").alias("x")).where("x.error is null").select("id", F.col("x.data").cast("string").alias("text"))
+
+
+def event_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that literals and matches of each document stand for."""
+    e = records(spark, sf_dir).select("id", codec.lz_events()("data").alias("e"))
+    covered = F.aggregate(codec.matches(F.col("e")), F.lit(0).cast("long"), lambda a, m: a + m["length"])
+    return e.select("id", (F.size(codec.literals(F.col("e"))) + covered).cast("long").alias("n_bytes"))
+
+
+def roundtrip_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts written through the data source to the shared folder and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/lexpack/source-{uuid.uuid4().hex}"
+    source.register(spark)
+    table(spark, sf_dir, "benchmark").where("text is not null").select(F.encode("text", "UTF-8").alias("data")).write.format("lexpack").option("path", path).mode("append").save()
+    return spark.read.format("lexpack").option("path", path).load().select(F.col("data").cast("string").alias("text"))
+
+
+def roundtrip_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary trained on all documents, written as a rank file and read back: the tokens that differ, none."""
+    v = _vocabulary(records(spark, sf_dir))
+    path = f"{shared_dir(spark).rstrip('/')}/lexpack/ranks-{uuid.uuid4().hex}"
+    files.save_vocabulary(spark, v, path)
+    own = spark.createDataFrame([(t, i) for t, i in v.ranks.items()], "token binary, rank int")
+    return own.exceptAll(files.read_ranks(spark, path)).select(F.hex("token").alias("token"), F.col("rank").cast("long").alias("rank"))
+
+
 def _vocabulary(rows: DataFrame, size: int = 1024) -> Vocabulary:
     return training.train(rows, size, sample_bytes=None)
 
@@ -346,6 +430,7 @@ def queries() -> dict[str, Query]:
         pretoken_counts, piece_lengths, token_profile, event_profile, bigram_mi, symbol_topk, freq_table_normalized, cum_freq, varint_sizes, symbol_list_bytes, raw_token_bits,
         sparse_code_length, chunk_history_counts, context_tables, context_escape_mass, doc_frequency, coverage_rank, dmer_frequency, segment_candidates, segment_scores,
         bpe_pair_counts, jsonl_record_split, container_offsets, indexed_read, record_size_histogram, per_source_ratio_inputs, fingerprint_antijoin,
+        chunk_sizes, match_candidates, cascade_cost, priming_budget, stream_headers, damaged_streams, event_lengths, roundtrip_source, roundtrip_ranks,
         roundtrip_smallest, roundtrip_fast, roundtrip_events, roundtrip_vocab, roundtrip_dictionary, roundtrip_pack_unpack, roundtrip_index, vocabulary_chain,
         compression_ratios, dictionary_summary,
     )
