@@ -2,7 +2,7 @@
 
 Overlapping heuristics vote good, bad or abstain on every text. Expectation-maximisation estimates, without any true label, how
 each of them votes on good and on bad texts, and so the probability that a text is good given its votes. These posterior labels
-train a logistic scorer on hashed byte n-grams, which then scores all texts.
+train a logistic scorer on hashed features (byte n-grams, and the votes), which then scores all texts.
 
 Votes are counted over all rows: the vote patterns (3 to the power of the labellers at most, 6,561) are counted by the
 cluster and EM runs on the counts. The scorer is fitted on a bounded sample of about ``sample`` rows, chosen by hash.
@@ -23,6 +23,8 @@ from lexpack.llm.text import encoded, extended, pieces
 
 BITS = 14
 SAMPLE = 10_000
+#: A vote's weight among the scorer's features.
+VOTE = 0.2
 #: Distinct words are counted in runs of so many, the last of up to twice as many, or the share would fall with the length.
 RUN = 1000
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -92,8 +94,12 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     return share, rates, good
 
 
-def features(text: bytes | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte 1- to 3-grams of the whole text: (indices, weights); weights are square roots of shares and have length 1."""
+def features(text: bytes | None, own_votes: list[int], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte 1- to 3-grams of the whole text and its votes: (indices, weights).
+
+    Weights of n-grams are square roots of shares and have length 1; a vote weighs VOTE. Votes are there for texts too short to
+    have telling n-grams.
+    """
     total = np.zeros(1 << bits, np.int64)
     for piece in pieces(text or b""):
         x = np.frombuffer(piece, np.uint8).astype(np.uint32)
@@ -104,7 +110,10 @@ def features(text: bytes | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarr
             total += np.bincount(((code + np.uint32(n * 0x01000193)) * _M) >> np.uint32(32 - bits), minlength=1 << bits)
     at = np.flatnonzero(total)
     values = np.sqrt(total[at])
-    return at.astype(np.int32), (values / max(1e-9, float(np.sqrt((values**2).sum())))).astype(np.float32)
+    cast = np.array([j * 3 + v for j, v in enumerate(own_votes) if v != ABSTAIN], np.uint32)
+    cast = ((cast + np.uint32(0x02000193)) * _M) >> np.uint32(32 - bits)
+    values = values / max(1e-9, float(np.sqrt((values**2).sum())))
+    return np.concatenate([at, cast]).astype(np.int32), np.concatenate([values, np.full(len(cast), VOTE)]).astype(np.float32)
 
 
 @dataclass
@@ -112,27 +121,25 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: bytes | None) -> float:
+    def score(self, text: bytes | None, own_votes: list[int]) -> float:
         """0 for a text without words, else the probability that it is good."""
         if not (text or b"").split(None, 1):
             return 0.0
-        at, x = features(text, int(len(self.weights)).bit_length() - 1)
+        at, x = features(text, own_votes, int(len(self.weights)).bit_length() - 1)
         return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ x + self.bias, -50, 50))))
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, rounds: int = 150, decay: float = 1e-4) -> Scorer:
-    """Logistic regression on soft labels by Adam over the whole sample; classes weigh the same."""
+    """Logistic regression on soft labels by Adam over the whole sample; every row weighs the same, so a text with little to go by is judged by the share of good ones."""
     w, b = np.zeros(1 << bits), 0.0
     if not len(rows):
         return Scorer(w, 0.0)
     at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    share = float(np.clip(labels.mean(), 0.01, 0.99))
-    weight = labels / (2 * share) + (1 - labels) / (2 * (1 - share))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * x, len(rows)) + b, -50, 50)))
-        g = weight * (p - labels) / len(rows)
+        g = (p - labels) / len(rows)
         gw, gb = np.bincount(at, g[row] * x, 1 << bits) + decay * w, float(g.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -166,7 +173,8 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
 
     def example(batches):
         for batch in batches:
-            made = [(labels.value["".join("-bg"[v] for v in votes(t))], *(x.tobytes() for x in features(t, bits))) for t in encoded(batch.column(0))]
+            judged = [(t, votes(t)) for t in encoded(batch.column(0))]
+            made = [(labels.value["".join("-bg"[x] for x in v)], *(x.tobytes() for x in features(t, v, bits))) for t, v in judged]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), (pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["y", "i", "x"])
 
@@ -179,8 +187,9 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
     def judge():
         def per_batch(batch):
             raw = encoded(batch.column(batch.schema.get_field_index("text")))
-            own = ["".join("-bg"[v] for v in votes(t)) for t in raw]
-            scores = [shared.value.score(t) for t in raw]
+            judged = [votes(t) for t in raw]
+            own = ["".join("-bg"[x] for x in v) for v in judged]
+            scores = [shared.value.score(t, v) for t, v in zip(raw, judged, strict=True)]
             return [own, [labels.value.get(v) for v in own], scores, [s >= 0.5 for s in scores]]
 
         return per_batch
