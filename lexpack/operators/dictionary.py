@@ -1,13 +1,15 @@
 """Training of shared dictionaries: text to refer to, and frequency tables with and without context.
 
-Counting runs on the cluster. The greedy choice of priming text runs on the driver over scored candidates, which are cut to the
-``pool`` best ones first (a documented bound on what the driver holds). The result has at most 4,096 priming tokens
-and 65 tables, so it goes to tasks inside the function that uses it.
+Counting runs on the cluster. The greedy choice of priming text runs on the driver over the best-scored distinct candidates. A
+candidate's score only falls as others are chosen, so a choice that still scores as much as the best candidate left out began with is
+the choice among all; where it doesn't, the pool is made four times as large and the choice begins again, up to ``MOST_POOL``
+candidates. The result has at most 4,096 priming tokens and 65 tables, so it goes to tasks inside the function that uses it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -24,7 +26,7 @@ from lexpack.session import cut, ship
 PRIMING = 4096
 CONTEXTS = 64
 SEGMENT, DMER, DISCOUNT = 256, 8, 0.3
-POOL = 20_000
+POOL, MOST_POOL = 1_000, 64_000
 PICKERS = ("concat", "coverage", "diverse", "cover")
 
 
@@ -121,16 +123,57 @@ def _take(picked: list[list[int]], most: int) -> list[int]:
     return [t for x in picked for t in x][:most]
 
 
-def _pool(rows: DataFrame, key: str, order: list, pool: int) -> list:
-    return rows.orderBy(*order).limit(pool).collect()
+def greedy(features: list[list], weights: dict, copies: list[int], sizes: list[int], most: int, floor: float, fade) -> list[int] | None:
+    """Candidates in the order of choice until their sizes reach ``most`` or none adds anything; the first of equals.
 
-
-def priming(rows: DataFrame, picker: str, most: int = PRIMING, length: int = SEGMENT, d: int = DMER, discount: float = DISCOUNT, pool: int = POOL) -> list[int]:
+    A candidate scores the sum of ln(1 + weight) over its features, each occurrence counted. Choosing it passes every occurrence's
+    weight through ``fade``. None if a choice scores below ``floor``, what the best candidate left out of the pool began with.
+    """
+    users: dict = {}
+    for i, x in enumerate(features):
+        for f in set(x):
+            users.setdefault(f, []).append(i)
+    score = lambda i: round(sum(math.log1p(weights[f]) for f in features[i]), 9)
+    scores, left, picked, size = [score(i) for i in range(len(features))], list(copies), [], 0
+    live = {i for i, n in enumerate(left) if n}
+    while live and size < most:
+        i = min(live, key=lambda k: (-scores[k], k))
+        if scores[i] <= 0:
+            break
+        if scores[i] < floor:
+            return None
+        picked.append(i)
+        size += sizes[i]
+        left[i] -= 1
+        if not left[i]:
+            live.discard(i)
+        for f in features[i]:
+            weights[f] = fade(weights[f])
+        for k in {k for f in set(features[i]) for k in users[f] if k in live}:
+            scores[k] = score(k)
+    return picked
+
+
+def _choose(candidates: DataFrame, features, weights, most: int, fade, copies: bool) -> list[int]:
+    """Tokens of the greedy choice among distinct candidates (tokens, first, copies, score); ``features`` of a token list, ``weights`` of a pool."""
+    pool = POOL
+    while True:
+        best = candidates.orderBy(F.col("score").desc(), "first").limit(pool + 1).collect()
+        floor = best[pool].score + 1e-6 if len(best) > pool and pool < MOST_POOL else 0.0  # scores are rounded to six digits
+        rows = sorted(best[:pool], key=lambda r: tuple(r["first"]))
+        picked = greedy([features(r.tokens) for r in rows], weights(best[:pool]), [r.copies if copies else 1 for r in rows], [len(r.tokens) for r in rows], most, floor, fade)
+        if picked is not None:
+            return _take([rows[i].tokens for i in picked], most)
+        pool *= 4
+
+
+def priming(rows: DataFrame, picker: str, most: int = PRIMING, length: int = SEGMENT, d: int = DMER, discount: float = DISCOUNT) -> list[int]:
     """Priming tokens from rows (id, tokens).
 
     ``concat``: the first tokens in id order. ``coverage``: whole rows, best score first, higher ids first among equals.
     ``diverse``: rows by what they add, scored anew after each pick; the first of equals. ``cover``: segments by the frequency of
-    their d-mers, which counts less (times ``discount``, rounded down, once for every occurrence) after a pick.
+    their d-mers, which counts less (times ``discount``, rounded down, once for every occurrence) after a pick; equal segments
+    may be taken as often as they occur, in the place of the first.
     """
     if picker not in PICKERS:
         raise ValueError(f"unknown picker {picker}; there are {', '.join(PICKERS)}")
@@ -142,57 +185,31 @@ def priming(rows: DataFrame, picker: str, most: int = PRIMING, length: int = SEG
     if picker == "coverage":
         best = rows.join(coverage(rows), "id").orderBy(F.col("score").desc(), F.col("id").desc()).limit(most).collect()
         return _take([r.tokens for r in best], most)
+    spark = rows.sparkSession
     if picker == "diverse":
-        found = sorted(_pool(rows.join(coverage(rows), "id"), "id", [F.col("score").desc(), F.col("id")], pool), key=lambda r: r.id)
-        df = {r.token: r.df for r in doc_frequency(rows.join(rows.sparkSession.createDataFrame([(r.id,) for r in found], rows.select("id").schema), "id", "left_semi")).collect()} if found else {}
-        gains, covered, picked, size = {i: set(r.tokens) for i, r in enumerate(found)}, set(), [], 0
-        import math
-
-        while gains and size < most:
-            score = {i: round(sum(math.log1p(df[t]) for t in sorted(s - covered)), 9) for i, s in gains.items()}
-            best = max(sorted(score), key=lambda i: score[i])
-            if score[best] <= 0:
-                break
-            covered |= gains.pop(best)
-            picked.append(found[best].tokens)
-            size += len(found[best].tokens)
-        return _take(picked, most)
-    return _cover(rows, most, length, d, discount, pool)
-
-
-def _cover(rows: DataFrame, most: int, length: int, d: int, discount: float, pool: int) -> list[int]:
-    import math
-
-    scored = segment_scores(rows, "id", "tokens", length, d)
-    best = scored.orderBy(F.col("score").desc(), "id", "start").limit(pool)
-    found = segments(rows, ["id"], "tokens", length).join(F.broadcast(best), ["id", "start"]).collect()
-    found.sort(key=lambda r: (r.id, r.start))
-    runs = [[tuple(r.tokens[i : i + d]) for i in range(len(r.tokens) - d + 1)] for r in found]
-    freq: dict[tuple, int] = {}
-    wanted = {g for x in runs for g in x}
-    if not wanted:
-        return []
-    counted = dmers(rows, [], "tokens", d).groupBy("dmer").agg(F.count(F.lit(1)).alias("n"))
-    chosen = rows.sparkSession.createDataFrame([(list(g),) for g in wanted], "dmer array<int>")
-    freq = {tuple(r.dmer): r.n for r in counted.join(chosen, "dmer", "left_semi").collect()}
-    left, picked, size = set(range(len(runs))), [], 0
-    scores = [round(sum(math.log1p(freq[g]) for g in x), 9) for x in runs]
-    users: dict[tuple, set[int]] = {}
-    for i, x in enumerate(runs):
-        for g in x:
-            users.setdefault(g, set()).add(i)
-    while left and size < most:
-        i = min(left, key=lambda k: (-scores[k], k))
-        if scores[i] <= 0:
-            break
-        left.discard(i)
-        picked.append(found[i].tokens)
-        size += len(found[i].tokens)
-        for g in runs[i]:
-            freq[g] = int(freq[g] * discount)
-        for k in {k for g in set(runs[i]) for k in users[g] if k in left}:
-            scores[k] = round(sum(math.log1p(freq[g]) for g in runs[k]), 9)
-    return _take(picked, most)
+        distinct = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+        df = cut(doc_frequency(rows))
+        each = distinct.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(df, "token").groupBy("id").agg(F.round(F.sum(F.log1p("df")), 6).alias("score"))
+        found = cut(distinct.join(each, "id").select("tokens", F.struct("id").alias("first"), "copies", "score"))
+
+        def frequencies(best):
+            wanted = sorted({t for r in best for t in r.tokens})
+            return {r.token: r.df for r in df.join(spark.createDataFrame([(t,) for t in wanted], df.select("token").schema), "token", "left_semi").collect()} if wanted else {}
+
+        return _choose(found, lambda t: list(dict.fromkeys(t)), frequencies, most, lambda w: 0, copies=False)
+    freq = cut(dmers(rows, [], "tokens", d).groupBy("dmer").agg(F.count(F.lit(1)).alias("n")))
+    parts = segments(rows, ["id"], "tokens", length).groupBy("tokens").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    parts = cut(parts)
+    scored = dmers(parts, ["first"], "tokens", d).join(freq, "dmer").groupBy("first").agg(F.round(F.sum(F.log1p("n")), 6).alias("score"))
+    found = cut(parts.join(scored, "first"))
+    runs = lambda t: [tuple(t[i : i + d]) for i in range(len(t) - d + 1)]
+
+    def counts(best):
+        wanted = sorted({g for r in best for g in runs(r.tokens)})
+        schema = freq.select("dmer").schema
+        return {tuple(r.dmer): r.n for r in freq.join(spark.createDataFrame([(list(g),) for g in wanted], schema), "dmer", "left_semi").collect()} if wanted else {}
+
+    return _choose(found, runs, counts, most, lambda w: int(w * discount), copies=True)
 
 
 def train(samples: DataFrame, data: str = "data", order: str = "id", vocabulary: Vocabulary | None = None, picker: str = "cover", max_priming: int = PRIMING, use_priming: bool = True, use_contexts: bool = True, segment: int = SEGMENT, dmer: int = DMER, discount: float = DISCOUNT) -> Dictionary:

@@ -234,3 +234,62 @@ def test_benchmark_and_stats():
     r = api.benchmark("\n".join(RECORDS))
     assert r["lossless"] and 0 < r["ratio"] < 1
     assert api.token_stats(b"")["h0"] == 0 and api.decompress_each(api.compress_each(RECORDS)) == [r.encode() for r in RECORDS]
+
+
+def slow_cover(rows, most, length, d, discount):
+    """Every segment scored anew before each pick."""
+    segs = []
+    for i, t in sorted(rows):
+        at = 0
+        while t:
+            segs.append((i, at, t[at : at + length]))
+            if at + length >= len(t):
+                break
+            at += max(1, length // 2)
+    freq = Counter(tuple(t[k : k + d]) for _, t in rows for k in range(len(t) - d + 1))
+    first = {}
+    for i, at, t in segs:
+        first.setdefault(tuple(t), (i, at))
+    segs.sort(key=lambda s: (first[tuple(s[2])], s[0], s[1]))
+    out, size = [], 0
+    while segs and size < most:
+        score = lambda s: round(sum(math.log1p(freq[tuple(s[2][k : k + d])]) for k in range(len(s[2]) - d + 1)), 9)
+        best = max(segs, key=score)
+        if score(best) <= 0:
+            break
+        segs.remove(best)
+        out += best[2]
+        size += len(best[2])
+        for k in range(len(best[2]) - d + 1):
+            freq[tuple(best[2][k : k + d])] = int(freq[tuple(best[2][k : k + d])] * discount)
+    return out[:most]
+
+
+def slow_diverse(rows, most):
+    df, covered, left, out = Counter(t for _, x in rows for t in set(x)), set(), sorted(rows), []
+    size = 0
+    while left and size < most:
+        gain = lambda r: round(sum(math.log1p(df[t]) for t in dict.fromkeys(r[1]) if t not in covered), 9)
+        best = max(left, key=gain)
+        if gain(best) <= 0:
+            break
+        left.remove(best)
+        covered |= set(best[1])
+        out += best[1]
+        size += len(best[1])
+    return out[:most]
+
+
+@pytest.mark.parametrize("pool", [1, 4, 1000])
+def test_greedy_pickers_are_those_of_all_candidates(spark, monkeypatch, pool):
+    import random
+
+    monkeypatch.setattr(dictionary, "POOL", pool)
+    r = random.Random(pool)
+    rows = [(i, [r.randrange(6) for _ in range(r.choice((0, 3, 9, 20, 40)))]) for i in range(30)] + [(30 + i, [1, 2, 3, 4, 5] * 4) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, tokens array<int>")
+    for most in (12, 60, 10_000):
+        assert dictionary.priming(df, "cover", most, 16, 4, 0.3) == slow_cover(rows, most, 16, 4, 0.3)
+        assert dictionary.priming(df, "diverse", most) == slow_diverse(rows, most)
+    concat = [t for _, x in rows for t in x]
+    assert dictionary.priming(df, "concat", 50) == concat[:50]
