@@ -1,9 +1,9 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
 A source's target is met by whole copies of all its documents and, for the rest, by the documents whose id hashes below a
-threshold. Thresholds come from nested histograms: sizes are summed by source and the leading 10 bits of the 60-bit hash; the
-bucket in which the running sum passes the budget is opened by the next 10 bits, and so on until it holds a single hash value.
-Nothing is sorted but at most 1024 sums a source. The document at the threshold is taken in part, so that the budget is met
+threshold. Thresholds come from nested histograms: sizes are summed by source and the leading 12 bits of the 60-bit hash; the
+bucket in which the running sum passes the budget is opened by the next 12 bits, and so on until it holds a single hash value.
+Nothing is sorted but at most 4096 sums a source. The document at the threshold is taken in part, so that the budget is met
 to the word; rows that share its hash share what is left equally.
 """
 
@@ -19,7 +19,7 @@ from lexpack.llm.text import encoded, extended, word_counts
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-LEVELS, STEP = 6, 10
+LEVELS, STEP = 5, 12
 
 
 def doc_hash(doc_id):
@@ -40,24 +40,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """(source, source_size, target) from rows (source, size).
 
     Sources in code-point order, null last, weigh as ``weights`` repeats. Together they get ``share`` of all sizes; a target
-    stops at ``most`` times its source's size and the excess is shared again by weight until none is above. A round sums
-    the sources still open; the driver only sees three numbers. The ordinal needs the sources, one row each, in order.
+    stops at ``most`` times its source's size and the excess is shared again by weight until none is above. That closes sources in
+    the order of size by weight, so a source's fate follows from sums over those before it. The windows see one row a source.
     """
     per = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = cut(per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod(place, F.lit(len(weights))) + 1).cast("double")))
-    total = per.agg(F.sum("source_size")).first()[0] or 0
-    twice, capped, fair = F.col("source_size") * float(most), F.lit(False), None
-    while True:
-        open_w, closed = per.agg(F.sum(F.when(~capped, F.col("w"))), F.sum(F.when(capped, F.col("source_size")))).first()
-        if not open_w:
-            return per.select("source", "source_size", twice.alias("target"))
-        fair = F.col("w") * F.lit(share * total - float(most) * (closed or 0)) / F.lit(float(open_w))
-        # The fair share only grows from round to round, so a source once above stays above.
-        above = twice < fair
-        if per.where(above & ~capped).isEmpty():
-            return per.select("source", "source_size", F.when(capped, twice).otherwise(fair).alias("target"))
-        capped = above
+    by_name = F.col("source").asc_nulls_last()
+    place = F.row_number().over(Window.orderBy(by_name)) - 1
+    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod(place, F.lit(len(weights))) + 1).cast("double"))
+    size, w, most = F.col("source_size").cast("double"), F.col("w"), float(most)
+    before = Window.orderBy(most * size / w, by_name).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(most * size / w, by_name).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum("source_size").over(everything).cast("double")
+    closed, open_w = F.coalesce(F.sum("source_size").over(before), F.lit(0)).cast("double"), F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
+    per = per.withColumns({"total": total, "capped": most * size < w * (share * total - most * closed) / open_w})
+    rest = F.coalesce(F.sum(F.when(F.col("capped"), F.col("source_size"))).over(everything), F.lit(0)).cast("double")
+    fair = w * (share * F.col("total") - most * rest) / F.sum(F.when(~F.col("capped"), w)).over(everything)
+    return cut(per.select("source", "source_size", F.when(F.col("capped"), size * most).otherwise(fair).alias("target")))
 
 
 def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
