@@ -123,28 +123,24 @@ class Chunk:
             fails.append(fail)
         known_word = single[self.ids] > 0
         del prob
-        out = self._traverse(list(zip(*(x.tolist() for x in arcs), strict=True)), list(zip(*(x.tolist() for x in fails), strict=True)) or [()] * len(self.ids), known_word.tolist())
-        return known, base, np.array(out)
-
-    def _traverse(self, arcs: list[tuple], fails: list[tuple], known: list[bool]) -> list[float]:
-        """The log-probability of each document, from left to right; the state is known by its depth, the length of its history."""
-        deepest, out = self.order - 1, []
-        for a, size in zip(self.first.tolist(), self.sizes.tolist(), strict=True):
-            depth, found = deepest and int(known[a]), 0.0
-            for i in range(a + 1, a + 1 + size):
-                arc = arcs[i]
+        cut = [slice(a, a + n + 1) for a, n in zip(self.first.tolist(), self.sizes.tolist(), strict=True)]
+        return known, base, np.array([self._traverse([x[c] for x in arcs], [x[c] for x in fails], known_word[c]) for c in cut])
+
+    def _traverse(self, arcs: list[np.ndarray], fails: list[np.ndarray], known: np.ndarray) -> float:
+        """The log-probability of one document, from left to right; the state is known by its depth, the length of its history."""
+        deepest, found, seen = self.order - 1, 0.0, known.tolist()
+        by_place = zip(zip(*(x[1:].tolist() for x in arcs), strict=True), zip(*(x[:-1].tolist() for x in fails), strict=True) if fails else [()] * (len(seen) - 1), seen[1:], strict=True)
+        depth = deepest and int(seen[0])
+        for arc, fail, word_seen in by_place:
+            weight = arc[depth]
+            while weight == _NONE:
+                depth -= 1
+                found += fail[depth]
                 weight = arc[depth]
-                if weight == _NONE:
-                    fail = fails[i - 1]
-                    while weight == _NONE:
-                        depth -= 1
-                        found += fail[depth]
-                        weight = arc[depth]
-                found += weight
-                if depth < deepest and (depth or known[i]):
-                    depth += 1
-            out.append(found)
-        return out
+            found += weight
+            if depth < deepest and (depth or word_seen):
+                depth += 1
+        return found
 
 
 def packed(values: np.ndarray) -> bytes:
