@@ -29,25 +29,26 @@ def profile(df: DataFrame, keys: list[str], tokens: Column, n_bytes: Column, dig
 
     The pair share divides by the number of tokens, not of pairs, and the context's share is that among all tokens. A key without
     tokens gets zeros.
+
+    All of it follows from one count of neighbours in which a record's last token has the neighbour null: summed by first token
+    it gives the tokens' counts n, and with c for the pairs' counts, N for their sum and the entropies written out,
+    H0 = log N - sum(n log n) / N and H1 = (sum(c log n) - sum(c log c)) / N. So tokens are cut once, and no counts are joined.
     """
     base = df.groupBy(*keys).agg(F.coalesce(F.sum(n_bytes), F.lit(0)).cast("long").alias("n_bytes"))
-    one = histogram(df, keys, tokens)
-    size = one.groupBy(*keys).agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"))
-
-    def joined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-        b = b.withColumnsRenamed({k: f"_{k}" for k in keys})
-        return a.join(b, [a[k].eqNullSafe(b[f"_{k}"]) for k in keys], how).drop(*(f"_{k}" for k in keys))
-
-    p = F.col("n") / F.col("n_tokens")
-    h0 = joined(one, size, "inner").groupBy(*keys).agg((-F.sum(p * F.log2(p))).alias("h0"))
-    two = bigrams(df, keys, tokens)
-    left = one.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("token").alias("_a"), F.col("n").alias("na"))
-    pairs = two.join(left, [two[k].eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("a") == F.col("_a")]).drop("_a", *(f"_{k}" for k in keys))
-    h1 = joined(pairs, size, "inner").groupBy(*keys).agg((-F.sum(F.col("n") / F.col("n_tokens") * F.log2(F.col("n") / F.col("na")))).alias("h1"))
-    out = joined(joined(joined(base, size, "left"), h0, "left"), h1, "left").na.fill(0, ["n_tokens", "n_distinct", "h0", "h1"])
-    rate = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), digits)
-    n, size_of = F.col("n_tokens"), F.col("n_bytes")
+    t = df.select(*keys, tokens.alias("t"))
+    pairs = t.select(*keys, F.explode(F.arrays_zip(F.col("t").alias("a"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("b"))).alias("p"))
+    counted = pairs.select(*keys, F.col("p")["a"].alias("a"), F.col("p")["b"].alias("b")).groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("c"))
+    c, inner = F.col("c"), F.col("b").isNotNull()
+    first = counted.groupBy(*keys, "a").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(inner, c)), F.lit(0)).alias("m"), F.coalesce(F.sum(F.when(inner, c * F.log2(c))), F.lit(0.0)).alias("s"))
+    n = F.col("n")
+    sums = first.groupBy(*keys).agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"), F.sum(n * F.log2(n)).alias("s0"), F.sum("s").alias("s1"), F.sum(F.col("m") * F.log2(n)).alias("s2"))
+    sums = sums.withColumnsRenamed({k: f"_{k}" for k in keys})
+    n = F.col("n_tokens")
+    out = base.join(sums, [base[k].eqNullSafe(sums[f"_{k}"]) for k in keys], "left").withColumns({"h0": F.log2(n) - F.col("s0") / n, "h1": (F.col("s2") - F.col("s1")) / n}).na.fill(0, ["n_tokens", "n_distinct", "h0", "h1"])
+    rate = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), digits) + 0.0  # noqa: E731  -0 is 0
+    exact = lambda x: F.round(x, digits) + 0.0
+    size_of = F.col("n_bytes")
     return out.select(
-        *keys, "n_bytes", "n_tokens", "n_distinct", F.round("h0", digits).alias("h0"), F.round("h1", digits).alias("h1"), F.round(F.col("h0") - F.col("h1"), digits).alias("mutual_information"),
+        *keys, "n_bytes", "n_tokens", "n_distinct", exact(F.col("h0")).alias("h0"), exact(F.col("h1")).alias("h1"), exact(F.col("h0") - F.col("h1")).alias("mutual_information"),
         rate(F.col("h0") * n, size_of).alias("bits_per_byte"), rate(n * 1000.0, size_of).alias("tokens_per_kb"), rate(size_of * 1.0, n).alias("bytes_per_token"),
     )
