@@ -38,13 +38,19 @@ def split(rng: np.random.Generator, columns: np.ndarray, n: int) -> np.ndarray:
     """How many of n places drawn without replacement fall to each column."""
     if int(columns.sum()) < 10**9:
         return rng.multivariate_hypergeometric(columns, n, method="marginals")
-    out, left = np.zeros_like(columns), int(columns.sum())
-    for j in np.flatnonzero(columns):
-        good = int(columns[j])
-        left -= good
-        out[j] = draw = hypergeometric(rng, good, left, n)
-        n -= draw
-    return out
+    # Beyond numpy's sizes the columns are halved level by level; the draws of a level don't depend on each other.
+    levels = [np.append(columns, np.zeros((1 << max(0, len(columns) - 1).bit_length()) - len(columns), np.int64))]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1][0::2] + levels[-1][1::2])
+    drawn = np.array([n], np.int64)
+    for level in levels[-2::-1]:
+        good, bad, left = level[0::2], level[1::2], np.zeros(len(drawn), np.int64)
+        small = np.maximum(good, bad) < 10**9
+        left[small] = rng.hypergeometric(good[small], bad[small], drawn[small])
+        for j in np.flatnonzero(~small).tolist():
+            left[j] = hypergeometric(rng, int(good[j]), int(bad[j]), int(drawn[j]))
+        drawn = np.stack([left, drawn - left], axis=1).ravel()
+    return drawn[: len(columns)]
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:

@@ -81,6 +81,19 @@ def test_large_draws_agree_with_the_moments():
     assert shards.split(rng, np.array([3 * 10**9, 0, 2 * 10**9]), 5 * 10**9).tolist() == [3 * 10**9, 0, 2 * 10**9]
 
 
+def test_large_splits_have_the_moments_of_every_column():
+    rng = np.random.default_rng(5)
+    columns = np.array([4 * 10**8, 0, 9 * 10**8, 10**9, 7, 3 * 10**9])
+    n, total = 10**7, int(columns.sum())
+    x = np.stack([shards.split(rng, columns, n) for _ in range(2000)])
+    assert (x.sum(axis=1) == n).all() and (x <= columns).all() and (x >= 0).all()
+    p = columns / total
+    sd = np.sqrt(n * p * (1 - p) * (total - n) / (total - 1))
+    assert (np.abs(x.mean(axis=0) - n * p) <= 5 * sd / 2000**0.5 + 1e-9).all() and np.allclose(x.std(axis=0)[[0, 2, 3, 5]], sd[[0, 2, 3, 5]], rtol=0.08)
+    one = shards.split(rng, np.array([2 * 10**9]), 5)
+    assert one.tolist() == [5] and shards.split(rng, np.array([10**9, 10**9, 10**9]), 0).tolist() == [0, 0, 0]
+
+
 def test_order_is_shuffled(spark):
     df = spark.range(4000, numPartitions=4).withColumnRenamed("id", "doc_id")
     got = [r.doc_id for r in shards.shuffle(df, shards=1).orderBy("slot").collect()]
