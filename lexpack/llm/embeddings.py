@@ -72,7 +72,8 @@ class Code:
         d = 1 << max(2, (dim - 1).bit_length())
         # In few dimensions a small cap is narrow against the angle of a pair, whose ends would then seldom lie in one.
         share = max(min(0.05, bucket / max(n, 1)), tail(math.cos(min(WIDE * math.acos(max(-1.0, min(1.0, cosine))), math.pi / 2)), d))
-        self.size = max(4, math.ceil((lists / share) ** (1 / PARTS)))
+        # Filters are numbered by 31 bits: enough for some five billion distinct vectors at full fineness; beyond, buckets grow.
+        self.size = min(1290, max(4, math.ceil((lists / share) ** (1 / PARTS))))
         low, high = -1.0, 1.0
         for _ in range(40):
             mid = (low + high) / 2
@@ -126,6 +127,22 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector in single precision where that loses nothing, else in double; equal vectors have equal bytes (-0 counts as 0)."""
+    x = x + 0.0
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return b"f" + small.tobytes() if (small == x).all() else b"d" + x.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.float32 if blob[:1] == b"f" else np.float64, offset=1).astype(np.float64)
+
+
+def length(blob: bytes) -> int:
+    return (len(blob) - 1) // (4 if blob[:1] == b"f" else 8)
+
+
 def linked(x: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
     """Boolean matrix of the pairs of unit rows with at least the cosine."""
     return x[a] @ x[b].T >= cosine
@@ -176,7 +193,7 @@ def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
     def to_bytes(batches):
         for batch in batches:
-            made = [None if b else (np.array(x, np.float64) + 0.0).tobytes() for x, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = [None if b else packed(np.array(x, np.float64)) for x, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["vec_id", "v"])
 
     keyed = rows.mapInArrow(to_bytes, T.StructType([rows.schema["vec_id"], T.StructField("v", T.BinaryType())]))
@@ -186,19 +203,19 @@ def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
     def listed(batches):
         for batch in batches:
-            blobs = [x.as_buffer() for x in batch.column(1)]
-            lengths = np.array([x.size // 8 for x in blobs])
+            blobs = batch.column(1).to_pylist()
+            lengths = np.array([length(x) for x in blobs])
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
                 for part in np.array_split(at, max(1, len(at) * dim // 1_000_000)):
-                    x = unit(np.stack([np.frombuffer(blobs[i], np.float64) for i in part]))
+                    x = unit(np.stack([unpacked(blobs[i]) for i in part]))
                     found = code_for(dim, n, cosine, lists, bucket, least).decode(x)
                     each = pa.array(np.repeat(part, [len(f) for f in found]))
-                    arrays = [batch.column(0).take(each), batch.column(2).take(each), batch.column(1).take(each), pa.array([dim] * len(each)), pa.array([g for f in found for g in f], pa.int64()), pa.array([f for f in found for _ in f], pa.list_(pa.int64()))]
+                    arrays = [batch.column(0).take(each), batch.column(2).take(each), batch.column(1).take(each), pa.array([dim] * len(each)), pa.array([g for f in found for g in f], pa.int32()), pa.array([f for f in found for _ in f], pa.list_(pa.int32()))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["node", "copies", "v", "dim", "f", "filters"])
 
-    members = classes.select("node", "v", "copies").mapInArrow(listed, "node long, copies long, v binary, dim long, f long, filters array<long>")
-    sizes = classes.select("node", "v", "copies").mapInArrow(listed, "node long, copies long, v binary, dim long, f long, filters array<long>").groupBy("dim", "f").count()
+    members = classes.select("node", "v", "copies").mapInArrow(listed, "node long, copies long, v binary, dim long, f int, filters array<int>")
+    sizes = classes.select("node", "v", "copies").mapInArrow(listed, "node long, copies long, v binary, dim long, f int, filters array<int>").groupBy("dim", "f").count()
     members = members.join(sizes.where(f"count > {block}").select("dim", "f", F.ceil(F.col("count") / block).cast("int").alias("n")), ["dim", "f"], "left")
     dealt = members.withColumn("n", F.coalesce("n", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("lo", F.least("p", "q")).withColumn("hi", F.greatest("p", "q"))
@@ -206,7 +223,7 @@ def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     def per_bucket(key, table):
         f, lo, hi = (key[i].as_py() for i in (1, 2, 3))
         node, p = table.column("node").to_numpy(), table.column("p").to_numpy()
-        x = unit(np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in table.column("v")]))
+        x = unit(np.stack([unpacked(v.as_py()) for v in table.column("v")]))
         filters = [v.values.to_numpy() for v in table.column("filters")]
         total, labels = bucket_links(x, filters, table.column("copies").to_numpy(), p == lo, p == hi, f, cosine)
         at = np.flatnonzero((total > 0) | (labels != np.arange(len(labels))))
