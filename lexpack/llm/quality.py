@@ -22,7 +22,9 @@ from lexpack.session import ship, stored
 from lexpack.llm.text import encoded, extended, pieces
 
 BITS = 14
-SAMPLE = 10_000
+SAMPLE = 4_000
+#: Rows whose gradient is taken at a time.
+PART = 256
 #: A vote's weight among the scorer's features.
 VOTE = 0.2
 #: Distinct words are counted in runs of so many, the last of up to twice as many, or the share would fall with the length.
@@ -113,7 +115,7 @@ def features(text: bytes | None, own_votes: list[int], bits: int = BITS) -> tupl
     cast = np.array([j * 3 + v for j, v in enumerate(own_votes) if v != ABSTAIN], np.uint32)
     cast = ((cast + np.uint32(0x02000193)) * _M) >> np.uint32(32 - bits)
     values = values / max(1e-9, float(np.sqrt((values**2).sum())))
-    return np.concatenate([at, cast]).astype(np.int32), np.concatenate([values, np.full(len(cast), VOTE)]).astype(np.float32)
+    return np.concatenate([at, cast]).astype(np.uint16), np.concatenate([values, np.full(len(cast), VOTE)]).astype(np.float32)
 
 
 @dataclass
@@ -134,13 +136,19 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bi
     w, b = np.zeros(1 << bits), 0.0
     if not len(rows):
         return Scorer(w, 0.0)
-    at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    parts = []
+    for at in range(0, len(rows), PART):
+        own = rows[at : at + PART]
+        parts.append((np.concatenate([r[0] for r in own]), np.concatenate([r[1] for r in own]), [len(r[0]) for r in own], labels[at : at + PART]))
+    del rows
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * x, len(rows)) + b, -50, 50)))
-        g = (p - labels) / len(rows)
-        gw, gb = np.bincount(at, g[row] * x, 1 << bits) + decay * w, float(g.sum())
+        gw, gb = decay * w, 0.0
+        for at, x, sizes, y in parts:
+            row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * x, len(sizes)) + b, -50, 50)))
+            g = (p - y) / len(labels)
+            gw, gb = gw + np.bincount(at, g[row] * x, 1 << bits), gb + float(g.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         b -= 0.3 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
@@ -154,6 +162,8 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
     0.5 or more. Texts without words have the score 0 and aren't kept. Repeated rows get equal results. An empty table gives
     none.
     """
+    if not 1 <= bits <= 16:
+        raise ValueError("bits must be from 1 to 16")
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -179,9 +189,12 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), (pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["y", "i", "x"])
 
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select("text")
-    examples = chosen.mapInArrow(example, "y double, i binary, x binary").collect()
-    examples.sort(key=lambda r: (bytes(r.i), bytes(r.x), r.y))
-    scorer = fit_scorer([(np.frombuffer(bytes(r.i), np.int32), np.frombuffer(bytes(r.x), np.float32)) for r in examples], np.array([r.y for r in examples]), bits)
+    # At most 2 ** bits features of six bytes each a row: 400 MB if every sampled text is a book, some 20 MB of usual ones.
+    examples = [(bytes(r.i), bytes(r.x), r.y) for r in chosen.mapInArrow(example, "y double, i binary, x binary").toLocalIterator()]
+    examples.sort()
+    goodness = np.array([y for _, _, y in examples])
+    scorer = fit_scorer([(np.frombuffer(i, np.uint16), np.frombuffer(x, np.float32)) for i, x, _ in examples], goodness, bits)
+    del examples
     shared = spark.sparkContext.broadcast(scorer)
 
     def judge():
