@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexpack.functions import stream
 from lexpack.functions.vocabulary import Vocabulary
 from lexpack.operators import codec, containers, dictionary, profile, tables, tokens, training
-from lexpack.session import cut, shared_dir, ship
+from lexpack.session import cut, shared_dir, ship, spread
 from lexpack.sources import container as source
 from lexpack.sources import files
 
@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/lexpack/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, steady: bool = False) -> DataFrame:
+    """``df`` dealt out over all cores where its scan has fewer partitions than the cluster has cores (a file of one row group, say); else ``df``.
+
+    ``steady``: the dealt rows are stored, so that partitions come out alike when they are read again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    dealt = df.repartition(cores)
+    return stored(dealt, "spread") if steady else dealt
