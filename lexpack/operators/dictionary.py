@@ -113,10 +113,22 @@ def segments(rows: DataFrame, keep: list[str], ids: str = "tokens", length: int
 
 
 def segment_scores(rows: DataFrame, key: str = "id", ids: str = "tokens", length: int = SEGMENT, d: int = DMER) -> DataFrame:
-    """(key, start, score): the sum of ln(1 + frequency) over a segment's d-mers."""
-    freq = dmers(rows, [], ids, d).groupBy("dmer").agg(F.count(F.lit(1)).alias("n"))
-    own = dmers(segments(rows, [key], ids, length), [key, "start"], "tokens", d)
-    return own.join(freq, "dmer").groupBy(key, "start").agg(F.round(F.sum(F.log1p("n")), 6).alias("score"))
+    """(key, start, score): the sum of ln(1 + frequency) over a segment's d-mers.
+
+    Every d-mer is cut out once and known by 96 bits of hashes from there on; its frequency goes to the one or two segments that
+    hold it.
+    """
+    step, n = max(1, length // 2), F.size(ids)
+    count = F.when(n <= length, 1).otherwise(F.ceil((n - length) / step) + 1).cast("int")
+    at = F.when(n >= d, F.sequence(F.lit(1), n - (d - 1))).otherwise(F.array().cast("array<int>"))
+    each = rows.select(key, ids, count.alias("__c"), F.explode(at).alias("__p")).withColumn("__d", F.slice(ids, F.col("__p"), d))
+    each = each.select(key, "__c", (F.col("__p") - 1).alias("__p"), F.xxhash64("__d").alias("__x"), F.hash("__d").alias("__y"))
+    freq = each.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("n"))
+    first = F.greatest(F.ceil((F.col("__p") + d - length) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor(F.col("__p") / step), F.col("__c") - 1).cast("int")
+    held = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    # A d-mer that a segment's end cuts is in the next segment whole.
+    return each.join(freq, ["__x", "__y"]).select(key, "n", F.explode(held).alias("__k")).groupBy(key, (F.col("__k") * step).alias("start")).agg(F.round(F.sum(F.log1p("n")), 6).alias("score"))
 
 
 def _take(picked: list[list[int]], most: int) -> list[int]:
