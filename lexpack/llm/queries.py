@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexpack.session import ship
+from lexpack.session import ship, spread
 from lexpack.llm import decontaminate, embeddings, langid, lines, mixing, ngram, quality, shards, simhash, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"), steady=True)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
