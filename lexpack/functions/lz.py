@@ -6,21 +6,34 @@ WINDOW = 32768
 SHORTEST, LONGEST = 3, 255
 
 
-def parse(tokens: list[int], history: list[int] | None = None) -> list[tuple[int, int, int]]:
+class History:
+    """Text before the first token, with the latest place of each of its pairs; made once for many records."""
+
+    def __init__(self, tokens: list[int]):
+        self.tokens = list(tokens)
+        self.latest = {pair: i for i, pair in enumerate(zip(self.tokens, self.tokens[1:], strict=False))}
+
+
+_NOTHING = History([])
+
+
+def parse(tokens: list[int], history: list[int] | History | None = None) -> list[tuple[int, int, int]]:
     """Greedy events (role, a, b): (0, token, 0) for a literal, (1, distance, length) for a match.
 
     A match goes to the latest earlier place with the same two tokens, at most WINDOW back; ``history`` is text before the
     first token that may be referred to.
     """
-    past = list(history or ())
-    data, at = past + list(tokens), len(past)
-    latest = {pair: i for i, pair in enumerate(zip(data[:at], data[1:at], strict=False))}
+    past = history if isinstance(history, History) else History(history) if history else _NOTHING
+    data, at, before = past.tokens + list(tokens), len(past.tokens), past.latest.get
+    latest: dict[tuple[int, int], int] = {}
     out, n = [], len(data)
     while at < n:
         length = 0
         if at + 1 < n:
             pair = (data[at], data[at + 1])
             found = latest.get(pair)
+            if found is None:
+                found = before(pair)
             if found is not None and at - found <= WINDOW:
                 most = min(LONGEST, n - at)
                 length = 2

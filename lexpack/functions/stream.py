@@ -400,7 +400,7 @@ def compress(data: bytes, vocabulary, trained=None, integrity: bool = True, fast
             if trained is not None:
                 if trained.vocabulary != vocabulary.fingerprint:
                     raise ValueError("the dictionary was trained with another vocabulary")
-                built.append((DICTIONARY, encode_events(lz.parse(tokens, trained.priming), DICTIONARY, flag, trained)))
+                built.append((DICTIONARY, encode_events(lz.parse(tokens, trained.history), DICTIONARY, flag, trained)))
         best, payload = min(built, key=lambda x: len(x[1]))
     out = MAGIC + bytes([VERSION, best | STAMP | CRC * bool(integrity)]) + len(data).to_bytes(4, "little") + payload + vocabulary.fingerprint
     return out + zlib.crc32(data, zlib.crc32(out[:10])).to_bytes(4, "little") if integrity else out

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,6 +49,10 @@ class Dictionary:
             h.update(repr((c, self.contexts[c].symbols, self.contexts[c].freqs)).encode())
         self.fingerprint = h.digest()
 
+    @cached_property
+    def history(self) -> lz.History:
+        return lz.History(self.priming)
+
     def __getstate__(self):
         return (self.priming, (self.order0.symbols, self.order0.freqs), {c: (t.symbols, t.freqs) for c, t in self.contexts.items()}, self.escape, self.vocabulary)
 
@@ -240,7 +245,8 @@ def train(samples: DataFrame, data: str = "data", order: str = "id", vocabulary:
 
     @F.pandas_udf("array<int>")
     def symbols(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: lz.flat(lz.parse([int(i) for i in t], shared.value), flag))
+        history = lz.History(shared.value)
+        return x.map(lambda t: lz.flat(lz.parse(t.tolist(), history), flag))
 
     flat = cut(rows.select(symbols("tokens").alias("s")))
     escape = flag + 1
