@@ -84,17 +84,12 @@ def do_pack(spark, a) -> None:
     rows = corpus(spark, a.input).withColumn("g", F.lit(0))
     kind = "index" if a.indexed else "batch"
     packed = containers.pack(rows, ["g"], "data", "id", kind, v, d, not a.no_integrity, most_bytes=a.most_bytes, partitions=a.partitions)
-    found = packed.select(F.format_string(f"%s-%06d{'.lxc'}", F.lit(kind), F.row_number().over(_by_first()) - 1).alias("name"), F.col("blob").alias("data"), "n_records", "n_bytes")
-    n = files._each(found.select("name", "data"), F.col("name"), a.output)
+    # Partitions are in the order of the records, so these numbers are too; numbering without gaps would bring all to one task.
+    found = packed.select(F.format_string("%s-%016d.lxc", F.lit(kind), F.monotonically_increasing_id()).alias("name"), F.col("blob").alias("data"))
+    n = files._each(found, F.col("name"), a.output)
     print(f"{a.output}: {n} containers")
 
 
-def _by_first():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("first")
-
-
 def do_unpack(spark, a) -> None:
     v, d = models(spark, a)
     each = containers.unpack(files.binary(spark, a.input), "data", ["path"], v, d)

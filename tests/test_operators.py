@@ -293,3 +293,16 @@ def test_greedy_pickers_are_those_of_all_candidates(spark, monkeypatch, pool):
         assert dictionary.priming(df, "diverse", most) == slow_diverse(rows, most)
     concat = [t for _, x in rows for t in x]
     assert dictionary.priming(df, "concat", 50) == concat[:50]
+
+
+def test_small_scans_are_dealt_out(spark, tmp_path):
+    from lexpack.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    for steady in (False, True):
+        out = spread(df, steady)
+        assert out.rdd.getNumPartitions() == cores and sorted(r.id for r in out.collect()) == list(range(100))
+    wide = df.repartition(cores + 1)
+    assert spread(wide) is wide
