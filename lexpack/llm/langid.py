@@ -6,12 +6,13 @@ its classifier separates the languages; near ties are flagged as ambiguous.
 
 The classifiers are log-odds of smoothed n-gram frequencies, each language weighing the same. They are learned from the counts
 of all labelled training rows: a task adds its texts into one count vector for each language, and vectors are summed in two
-steps. The driver gets one vector of ``2**bits`` counts for each language (256 KiB at 15 bits), which the number of languages
+steps, each as a stream that holds one sum. The driver gets one vector of ``2**bits`` counts for each language (256 KiB at 15 bits), which the number of languages
 bounds, not the number of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ from lexpack.llm.text import LETTERS, encoded, extended, pieces, slices
 BITS = 15
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+#: Into so many parts a language's counts are summed before they are summed to one.
+SALTS = 16
 #: A text is ambiguous if the best and the second codeword are closer than this in probability.
 MARGIN = 0.1
 _M = np.uint32(0x9E3779B1)
@@ -132,14 +135,15 @@ def count_grams(rows: DataFrame, text: str, lang: str, bits: int = BITS) -> dict
                         total += np.bincount(gram_codes(piece, bits), minlength=1 << bits)
         yield from (pa.RecordBatch.from_pydict({"l": pa.array([k], pa.string()), "c": pa.array([v.tobytes()], pa.binary())}) for k, v in found.items())
 
-    def added(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << bits, np.int64)
-        for blob in table.column("c"):
-            total += np.frombuffer(blob.as_buffer(), np.int64)
-        return pa.table({"l": table.column("l")[:1].cast(pa.string()), "c": pa.array([total.tobytes()], pa.binary())})
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, name = np.zeros(1 << bits, np.int64), None
+        for batch in batches:  # one at a time, however many tasks there were
+            for name, blob in zip(batch.column(0), batch.column(1), strict=True):
+                total += np.frombuffer(blob.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_pydict({"l": pa.array([name.as_py()], pa.string()), "c": pa.array([total.tobytes()], pa.binary())})
 
     each = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null").mapInArrow(partial, "l string, c binary")
-    some = each.withColumn("s", F.spark_partition_id() % 16).groupBy("l", "s").applyInArrow(added, "l string, c binary")
+    some = each.select("l", "c", (F.spark_partition_id() % SALTS).alias("s")).groupBy("l", "s").applyInArrow(added, "l string, c binary")
     return {r.l: np.frombuffer(bytes(r.c), np.int64) for r in some.groupBy("l").applyInArrow(added, "l string, c binary").toLocalIterator()}
 
 
