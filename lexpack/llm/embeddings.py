@@ -8,8 +8,9 @@ Vectors are joined on filters and every candidate pair is verified in double pre
 
 The threshold follows from the number of distinct vectors: a filter takes about ``bucket`` of them if they are spread evenly and
 a vector has about ``lists`` filters, the best ``least`` of them in any case; caps are never narrower than ``WIDE`` times the angle
-of a pair. At cosine 0.95 a pair then shares several filters;
-a pair that shares none is missed (the tests measure recall). Equal vectors are one node, so copies cost nothing. A filter of
+of a pair. Narrow caps are shared by fewer pairs, so ``lists`` and ``least`` grow with the number of vectors: until, of pairs
+planted at the wanted cosine itself, a share of ``RECALL`` have a common filter. This is found once, on the driver.
+A pair that shares none is missed (the tests measure recall). Equal vectors are one node, so copies cost nothing. A filter of
 more than ``block`` nodes is dealt out as pairs of blocks. A pair is counted only in the smallest filter that both have, inside
 the task, so pairs are never emitted: a task returns link counts and the links of a spanning forest.
 """
@@ -35,6 +36,8 @@ BUCKET = 64
 BLOCK = 1024
 PARTS = 3
 WIDE = 2.5
+#: The share of pairs at the wanted cosine that a code must give a common filter, the pairs it's tried on, and how lists grow.
+RECALL, TRIED, GROW, MOST_GROWTH = 0.99, 2000, 1.25, 32.0
 
 
 def tail(z: float, dim: int) -> float:
@@ -64,11 +67,40 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+def planted(dim: int, pairs: int, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows in random directions, and others at the cosine from them."""
+    rng = np.random.default_rng([seed, dim])
+    a, b = (rng.standard_normal((pairs, dim)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b
+
+
 class Code:
-    """The product code for vectors of one length among about n."""
+    """The product code for vectors of one length among about n.
 
-    def __init__(self, dim: int, n: int, cosine: float = COSINE, lists: int = LISTS, bucket: int = BUCKET, least: int = LEAST, seed: int = 2):
-        self.seed, self.least = seed, least
+    Lists are ``growth`` times ``lists`` and ``least``; by default, beyond four dimensions, as many times as ``RECALL`` needs, up to
+    about ``MOST_GROWTH``.
+    """
+
+    def __init__(self, dim: int, n: int, cosine: float = COSINE, lists: int = LISTS, bucket: int = BUCKET, least: int = LEAST, seed: int = 2, growth: float | None = None):
+        self.growth = growth or 1.0
+        self._make(dim, n, cosine, lists, bucket, least, seed)
+        d = 1 << max(2, (dim - 1).bit_length())
+        # Up to four dimensions a block of one number has but two codewords, so longer lists add little; caps there don't narrow with n.
+        if growth is None and d > 4:
+            a, b = planted(d, TRIED, cosine, seed)
+            while self.recall(a, b) < RECALL and self.growth < MOST_GROWTH:
+                self.growth *= GROW
+                self._make(dim, n, cosine, lists, bucket, least, seed)
+
+    def recall(self, a: np.ndarray, b: np.ndarray) -> float:
+        """The share of the pairs of unit rows that have a common filter."""
+        return sum(not set(x).isdisjoint(y) for x, y in zip(self.decode(a), self.decode(b), strict=True)) / len(a)
+
+    def _make(self, dim: int, n: int, cosine: float, lists: float, bucket: int, least: int, seed: int) -> None:
+        lists, self.seed, self.least = lists * self.growth, seed, math.ceil(least * self.growth)
         d = 1 << max(2, (dim - 1).bit_length())
         # In few dimensions a small cap is narrow against the angle of a pair, whose ends would then seldom lie in one.
         share = max(min(0.05, bucket / max(n, 1)), tail(math.cos(min(WIDE * math.acos(max(-1.0, min(1.0, cosine))), math.pi / 2)), d))
@@ -117,8 +149,8 @@ class Code:
 
 
 @lru_cache(8)
-def code_for(dim: int, n: int, cosine: float, lists: int, bucket: int, least: int) -> Code:
-    return Code(dim, n, cosine, lists, bucket, least)
+def code_for(dim: int, n: int, cosine: float, lists: int, bucket: int, least: int, growth: float | None = None) -> Code:
+    return Code(dim, n, cosine, lists, bucket, least, growth=growth)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -200,6 +232,10 @@ def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     classes = keyed.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     n = classes.count()
+    # A code depends on the length's power of two, so there are few to fit; workers get the results, lest rounding tell them apart.
+    size = F.when(F.substring("v", 1, 1) == F.lit(b"f"), F.lit(4)).otherwise(F.lit(8))
+    bits = F.greatest(F.lit(2), F.length(F.bin(((F.octet_length("v") - 1) / size).cast("long") - 1)))
+    growth = {r.bits: code_for(1 << r.bits, n, cosine, lists, bucket, least).growth for r in classes.select(bits.alias("bits")).distinct().collect()}
 
     def listed(batches):
         for batch in batches:
@@ -209,7 +245,7 @@ def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                 at = np.flatnonzero(lengths == dim)
                 for part in np.array_split(at, max(1, len(at) * dim // 1_000_000)):
                     x = unit(np.stack([unpacked(blobs[i]) for i in part]))
-                    found = code_for(dim, n, cosine, lists, bucket, least).decode(x)
+                    found = code_for(dim, n, cosine, lists, bucket, least, growth[max(2, (dim - 1).bit_length())]).decode(x)
                     each = pa.array(np.repeat(part, [len(f) for f in found]))
                     arrays = [batch.column(0).take(each), batch.column(2).take(each), batch.column(1).take(each), pa.array([dim] * len(each)), pa.array([g for f in found for g in f], pa.int32()), pa.array([f for f in found for _ in f], pa.list_(pa.int32()))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["node", "copies", "v", "dim", "f", "filters"])

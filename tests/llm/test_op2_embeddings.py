@@ -65,6 +65,12 @@ def test_recall_on_planted_pairs(spark, dim):
     assert all(a[1] <= b[1] for a, b in zip(sorted(got), sorted(want), strict=True))
 
 
+@pytest.mark.parametrize("n", [800, 100_000, 10_000_000])
+def test_recall_does_not_fall_with_the_number_of_vectors(n):
+    for cosine in (0.95, 0.96):
+        assert embeddings.Code(64, n).recall(*embeddings.planted(64, 1000, cosine, 77)) >= 0.98
+
+
 def test_large_filters_are_dealt_out_alike(spark):
     r = np.random.default_rng(5)
     rows = [(i, x.tolist()) for i, x in enumerate(np.array([1.0] + [0.0] * 7) + r.standard_normal((300, 8)) * 0.1)]
