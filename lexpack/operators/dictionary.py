@@ -2,8 +2,8 @@
 
 Counting runs on the cluster. The greedy choice of priming text runs on the driver over the best-scored distinct candidates. A
 candidate's score only falls as others are chosen, so a choice that still scores as much as the best candidate left out began with is
-the choice among all; where it doesn't, the pool is made four times as large and the choice begins again, up to ``MOST_POOL``
-candidates. The result has at most 4,096 priming tokens and 65 tables, so it goes to tasks inside the function that uses it.
+the choice among all. Where it doesn't, the cluster scores all candidates anew with the weights as faded by then, and the choice goes
+on from the best of those, in a pool four times as large, up to ``MOST_POOL`` candidates a pool. The result has at most 4,096 priming tokens and 65 tables, so it goes to tasks inside the function that uses it.
 """
 
 from __future__ import annotations
@@ -140,25 +140,30 @@ def _take(picked: list[list[int]], most: int) -> list[int]:
     return [t for x in picked for t in x][:most]
 
 
-def greedy(features: list[list], weights: dict, copies: list[int], sizes: list[int], most: int, floor: float, fade) -> list[int] | None:
-    """Candidates in the order of choice until their sizes reach ``most`` or none adds anything; the first of equals.
+def scored(weights: list) -> float:
+    """The sum of ln(1 + weight) over a candidate's features in their order, each occurrence counted."""
+    return round(sum(math.log1p(w) for w in weights), 9)
 
-    A candidate scores the sum of ln(1 + weight) over its features, each occurrence counted. Choosing it passes every occurrence's
-    weight through ``fade``. None if a choice scores below ``floor``, what the best candidate left out of the pool began with.
+
+def greedy(features: list[list], weights: dict, left: list[int], sizes: list[int], most: int, floor: tuple | None, firsts: list, fade) -> tuple[list[int], bool]:
+    """Candidates in the order of choice until their sizes reach ``most`` or none adds anything, and whether it ended so; the first of equals.
+
+    Choosing a candidate passes every occurrence's weight through ``fade``, in ``weights`` itself, and takes one from ``left``. It doesn't
+    end so if a choice comes after ``floor``, (-score, first) of the best candidate left out of the pool.
     """
     users: dict = {}
     for i, x in enumerate(features):
         for f in set(x):
             users.setdefault(f, []).append(i)
-    score = lambda i: round(sum(math.log1p(weights[f]) for f in features[i]), 9)
-    scores, left, picked, size = [score(i) for i in range(len(features))], list(copies), [], 0
+    score = lambda i: scored([weights[f] for f in features[i]])
+    scores, picked, size = [score(i) for i in range(len(features))], [], 0
     live = {i for i, n in enumerate(left) if n}
-    while live and size < most:
-        i = min(live, key=lambda k: (-scores[k], k))
+    while size < most:
+        i = min(live, key=lambda k: (-scores[k], k), default=None)
+        if i is None or floor is not None and (-scores[i], firsts[i]) > floor:
+            return picked, floor is None
         if scores[i] <= 0:
             break
-        if scores[i] < floor:
-            return None
         picked.append(i)
         size += sizes[i]
         left[i] -= 1
@@ -168,20 +173,41 @@ def greedy(features: list[list], weights: dict, copies: list[int], sizes: list[i
             weights[f] = fade(weights[f])
         for k in {k for f in set(features[i]) for k in users[f] if k in live}:
             scores[k] = score(k)
-    return picked
+    return picked, True
 
 
-def _choose(candidates: DataFrame, features, weights, most: int, fade, copies: bool) -> list[int]:
-    """Tokens of the greedy choice among distinct candidates (tokens, first, copies, score); ``features`` of a token list, ``weights`` of a pool."""
-    pool = POOL
+def _choose(candidates: DataFrame, features, most: int, fade, copies: bool) -> list[int]:
+    """Tokens of the greedy choice among distinct candidates (tokens, first, copies, w); ``features`` of a token list, whose weights ``w`` has in order.
+
+    A round scores every candidate where it lies, with the few weights that choices have changed, and goes on from the best. The
+    sums are those of the driver to the last digit, so the first of a round is always chosen and rounds come to an end.
+    """
+    chosen, changed, left, pool = [], {}, {}, POOL
     while True:
-        best = candidates.orderBy(F.col("score").desc(), "first").limit(pool + 1).collect()
-        floor = best[pool].score + 1e-6 if len(best) > pool and pool < MOST_POOL else 0.0  # scores are rounded to six digits
+        now, sc = dict(changed), candidates.sparkSession.sparkContext
+        shared = sc.broadcast(now)
+
+        @F.pandas_udf("double")
+        def rescored(tokens: pd.Series, w: pd.Series) -> pd.Series:
+            new = shared.value
+            return pd.Series([scored([new.get(f, n) for f, n in zip(features(t.tolist()), x.tolist(), strict=True)]) for t, x in zip(tokens, w, strict=True)], dtype=float)
+
+        used = {k for k, n in left.items() if not n}
+        best = candidates.withColumn("score", rescored("tokens", "w")).orderBy(F.col("score").desc(), "first").limit(pool + 1 + len(used)).collect()
+        best = [r for r in best if tuple(r["first"]) not in used]
+        floor = (-best[pool].score, tuple(best[pool]["first"])) if len(best) > pool else None
         rows = sorted(best[:pool], key=lambda r: tuple(r["first"]))
-        picked = greedy([features(r.tokens) for r in rows], weights(best[:pool]), [r.copies if copies else 1 for r in rows], [len(r.tokens) for r in rows], most, floor, fade)
-        if picked is not None:
-            return _take([rows[i].tokens for i in picked], most)
-        pool *= 4
+        firsts, each = [tuple(r["first"]) for r in rows], [features(list(r.tokens)) for r in rows]
+        weights = {f: now.get(f, n) for r, x in zip(rows, each, strict=True) for f, n in zip(x, r.w, strict=True)}
+        rest = [left.get(k, r.copies if copies else 1) for k, r in zip(firsts, rows, strict=True)]
+        picked, ended = greedy(each, weights, rest, [len(r.tokens) for r in rows], most - len(chosen), floor, firsts, fade)
+        chosen += [t for i in picked for t in rows[i].tokens]
+        shared.unpersist()
+        if ended:
+            return chosen[:most]
+        left |= {firsts[i]: rest[i] for i in picked}
+        changed |= {f: weights[f] for i in picked for f in each[i]}
+        pool = min(4 * pool, max(pool, MOST_POOL))
 
 
 def priming(rows: DataFrame, picker: str, most: int = PRIMING, length: int = SEGMENT, d: int = DMER, discount: float = DISCOUNT) -> list[int]:
@@ -202,31 +228,22 @@ def priming(rows: DataFrame, picker: str, most: int = PRIMING, length: int = SEG
     if picker == "coverage":
         best = rows.join(coverage(rows), "id").orderBy(F.col("score").desc(), F.col("id").desc()).limit(most).collect()
         return _take([r.tokens for r in best], most)
-    spark = rows.sparkSession
     if picker == "diverse":
-        distinct = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-        df = cut(doc_frequency(rows))
-        each = distinct.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(df, "token").groupBy("id").agg(F.round(F.sum(F.log1p("df")), 6).alias("score"))
-        found = cut(distinct.join(each, "id").select("tokens", F.struct("id").alias("first"), "copies", "score"))
-
-        def frequencies(best):
-            wanted = sorted({t for r in best for t in r.tokens})
-            return {r.token: r.df for r in df.join(spark.createDataFrame([(t,) for t in wanted], df.select("token").schema), "token", "left_semi").collect()} if wanted else {}
-
-        return _choose(found, lambda t: list(dict.fromkeys(t)), frequencies, most, lambda w: 0, copies=False)
-    freq = cut(dmers(rows, [], "tokens", d).groupBy("dmer").agg(F.count(F.lit(1)).alias("n")))
+        distinct = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.struct(F.min("id").alias("id")).alias("first"), F.count(F.lit(1)).alias("copies"))
+        found = _weighed(distinct, F.posexplode(F.array_distinct("tokens")), doc_frequency(rows).withColumnRenamed("df", "n"), "token")
+        return _choose(found, lambda t: list(dict.fromkeys(t)), most, lambda w: 0, copies=False)
+    freq = dmers(rows, [], "tokens", d).groupBy("dmer").agg(F.count(F.lit(1)).alias("n"))
     parts = segments(rows, ["id"], "tokens", length).groupBy("tokens").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    parts = cut(parts)
-    scored = dmers(parts, ["first"], "tokens", d).join(freq, "dmer").groupBy("first").agg(F.round(F.sum(F.log1p("n")), 6).alias("score"))
-    found = cut(parts.join(scored, "first"))
-    runs = lambda t: [tuple(t[i : i + d]) for i in range(len(t) - d + 1)]
+    at = F.when(F.size("tokens") >= d, F.sequence(F.lit(1), F.size("tokens") - (d - 1))).otherwise(F.array().cast("array<int>"))
+    found = _weighed(parts, F.posexplode(F.transform(at, lambda i: F.slice("tokens", i, d))), freq, "dmer")
+    return _choose(found, lambda t: [tuple(t[i : i + d]) for i in range(len(t) - d + 1)], most, lambda w: int(w * discount), copies=True)
 
-    def counts(best):
-        wanted = sorted({g for r in best for g in runs(r.tokens)})
-        schema = freq.select("dmer").schema
-        return {tuple(r.dmer): r.n for r in freq.join(spark.createDataFrame([(list(g),) for g in wanted], schema), "dmer", "left_semi").collect()} if wanted else {}
 
-    return _choose(found, runs, counts, most, lambda w: int(w * discount), copies=True)
+def _weighed(parts: DataFrame, each, weights: DataFrame, feature: str) -> DataFrame:
+    """Candidates that have features (by ``each``: place, feature), with the weights ``n`` of them in order as ``w``; lineage cut."""
+    parts = cut(parts)
+    found = parts.select("first", each.alias("pos", feature)).join(weights, feature).groupBy("first").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("w"))
+    return cut(parts.join(found, "first"))
 
 
 def train(samples: DataFrame, data: str = "data", order: str = "id", vocabulary: Vocabulary | None = None, picker: str = "cover", max_priming: int = PRIMING, use_priming: bool = True, use_contexts: bool = True, segment: int = SEGMENT, dmer: int = DMER, discount: float = DISCOUNT) -> Dictionary:

@@ -295,6 +295,18 @@ def test_greedy_pickers_are_those_of_all_candidates(spark, monkeypatch, pool):
     assert dictionary.priming(df, "concat", 50) == concat[:50]
 
 
+def test_greedy_pickers_go_on_beyond_the_largest_pool(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(dictionary, "POOL", 2)
+    monkeypatch.setattr(dictionary, "MOST_POOL", 4)
+    r = random.Random(11)
+    rows = [(i, [r.randrange(6) for _ in range(r.choice((3, 9, 20, 40)))]) for i in range(30)] + [(30 + i, [1, 2, 3, 4, 5] * 4) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, tokens array<int>")
+    assert dictionary.priming(df, "cover", 160, 16, 4, 0.3) == slow_cover(rows, 160, 16, 4, 0.3)
+    assert dictionary.priming(df, "diverse", 60) == slow_diverse(rows, 60)
+
+
 def test_small_scans_are_dealt_out(spark, tmp_path):
     from lexpack.session import spread
 
