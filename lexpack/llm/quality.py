@@ -5,7 +5,8 @@ each of them votes on good and on bad texts, and so the probability that a text
 train a logistic scorer on hashed features (byte n-grams, and the votes), which then scores all texts.
 
 Votes are counted over all rows: the vote patterns (3 to the power of the labellers at most, 6,561) are counted by the
-cluster and EM runs on the counts. The scorer is fitted on a bounded sample of about ``sample`` rows, chosen by hash.
+cluster and EM runs on the counts. The scorer is fitted on a bounded sample: the ``sample`` distinct texts with the smallest hashes,
+or all where there are no more. Ids play no part in the choice and a text counts once, however many rows repeat it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from lexpack.session import ship, stored
 from lexpack.llm.text import encoded, extended, pieces
 
 BITS = 14
-SAMPLE = 4_000
+SAMPLE = 10_000
+#: How many times as many hashes as are wanted are looked at first.
+MARGIN = 2
 #: Rows whose gradient is taken at a time.
 PART = 256
 #: A vote's weight among the scorer's features.
@@ -155,46 +158,60 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bi
     return Scorer(w, b)
 
 
+def cutoff(hashes: DataFrame, sample: int, distinct: int) -> int:
+    """The ``sample``-th smallest of the distinct values of column h, or the largest if there are no more.
+
+    ``distinct`` is an estimate of their number, by which only the small hashes are sorted; should it be too high, more are.
+    """
+    share = MARGIN * sample / max(distinct, 1)
+    while True:
+        low = hashes if share >= 1 else hashes.where(F.col("h") <= int(-(1 << 63) + share * (1 << 64)))
+        found = low.distinct().orderBy("h").limit(sample).agg(F.count("h").alias("n"), F.max("h").alias("h")).first()
+        if found.n >= sample or share >= 1:
+            return found.h
+        share *= 4
+
+
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
     """One row a document row: doc_id, votes (a letter g, b or - for each of LABELLERS), posterior, score, keep.
 
     ``posterior``: the weak-label model's probability that the text is good; ``score``: the trained scorer's; ``keep``: a score of
-    0.5 or more. Texts without words have the score 0 and aren't kept. Repeated rows get equal results. An empty table gives
-    none.
+    0.5 or more. Texts without words, null ones too, have the score 0 and aren't kept. Ids may be null or repeated: they are only
+    returned. Repeated texts get equal results. An empty table gives none. At least one text is sampled if there is any row, so the
+    scorer is always fitted.
     """
-    if not 1 <= bits <= 16:
-        raise ValueError("bits must be from 1 to 16")
+    if not 1 <= bits <= 16 or sample < 1:
+        raise ValueError("bits must be from 1 to 16 and sample at least 1")
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    hashed = rows.select("text", F.xxhash64("text").alias("h"))
 
     def vote():
         return lambda batch: [["".join("-bg"[v] for v in votes(t)) for t in encoded(batch.column(batch.schema.get_field_index("text")))]]
 
-    voted = extended(rows, "text", [T.StructField("votes", T.StringType())], vote, keep=["doc_id"])
-    voted = stored(voted.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))), "votes")
-    counted = voted.groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) rows
+    voted = stored(extended(hashed, "text", [T.StructField("votes", T.StringType())], vote, keep=["h"]), "votes")
+    counted = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).collect()  # at most 3 ** len(LABELLERS) rows
     counted.sort(key=lambda r: r.votes)
-    total = sum(r["count"] for r in counted)
     patterns = np.array([["-bg".index(c) for c in r.votes] for r in counted]).reshape(-1, len(LABELLERS))
-    _, _, good = fit_labels(patterns, np.array([r["count"] for r in counted], float))
+    _, _, good = fit_labels(patterns, np.array([r.n for r in counted], float))
     label = {r.votes: float(g) for r, g in zip(counted, good, strict=True)}
     labels = spark.sparkContext.broadcast(label)
-    limit = int(min(1.0, sample / max(total, 1)) * (1 << 30))
 
     def example(batches):
         for batch in batches:
-            judged = [(t, votes(t)) for t in encoded(batch.column(0))]
+            judged = [(t, votes(t)) for t in encoded(batch.column(1))]
             made = [(labels.value["".join("-bg"[x] for x in v)], *(x.tobytes() for x in features(t, v, bits))) for t, v in judged]
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), (pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["y", "i", "x"])
-
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select("text")
-    # At most 2 ** bits features of six bytes each a row: 400 MB if every sampled text is a book, some 20 MB of usual ones.
-    examples = [(bytes(r.i), bytes(r.x), r.y) for r in chosen.mapInArrow(example, "y double, i binary, x binary").toLocalIterator()]
-    examples.sort()
-    goodness = np.array([y for _, _, y in examples])
-    scorer = fit_scorer([(np.frombuffer(i, np.uint16), np.frombuffer(x, np.float32)) for i, x, _ in examples], goodness, bits)
-    del examples
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*made, strict=True), (pa.float64(), pa.binary(), pa.binary()), strict=True))], names=["h", "y", "i", "x"])
+
+    # A text's votes, hash and features don't depend on the row, so of each chosen text one row will do; copies are combined before the shuffle.
+    last = cutoff(voted.select("h"), sample, sum(r.d for r in counted)) if counted else 0
+    chosen = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text"))
+    # At most 2 ** bits features of six bytes each a text: 1 GB if every sampled text is a book, some 50 MB of usual ones.
+    examples = chosen.mapInArrow(example, "h long, y double, i binary, x binary").toArrow().sort_by("h")
+    parts = [[np.frombuffer(b.as_buffer(), k) for b in examples.column(c)] for c, k in (("i", np.uint16), ("x", np.float32))]
+    scorer = fit_scorer(list(zip(*parts, strict=True)), examples.column("y").to_numpy(), bits)
+    del examples, parts
     shared = spark.sparkContext.broadcast(scorer)
 
     def judge():

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from lexpack.llm import quality, queries
 
@@ -58,3 +60,50 @@ def test_edges(spark, odd, clash, nothing):
 def test_same_result_however_rows_are_dealt(spark, documents):
     rows = lambda df: sorted((r.doc_id, r.votes, round(r.score, 9)) for r in quality.classify(df).collect())
     assert rows(documents) == rows(documents.repartition(5))
+
+
+def brute(rows, sample):
+    """All of it on collected rows: (votes, posterior, score) of each text."""
+    own = {t: quality.votes(None if t is None else t.encode()) for _, t in rows}
+    patterns, at, n = np.unique([own[t] for _, t in rows], axis=0, return_inverse=True, return_counts=True)
+    _, _, good = quality.fit_labels(patterns, n.astype(float))
+    posterior = {t: good[k] for (_, t), k in zip(rows, at.ravel(), strict=True)}
+    digest = lambda t: 42 if t is None else (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    chosen = sorted(set(own), key=digest)[:sample]
+    scorer = quality.fit_scorer([quality.features(None if t is None else t.encode(), own[t]) for t in chosen], np.array([posterior[t] for t in chosen]))
+    return {t: ("".join("-bg"[v] for v in own[t]), posterior[t], scorer.score(None if t is None else t.encode(), own[t])) for t in own}
+
+
+def held_against_brute_force(df, sample):
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    want = brute(rows, sample)
+    got = quality.classify(df, sample=sample).collect()
+    line = lambda d, v, p, s: (str(d), v, round(p, 6), round(s, 6))
+    assert sorted(line(r.doc_id, r.votes, r.posterior, r.score) for r in got) == sorted(line(d, *want[t]) for d, t in rows)
+
+
+@pytest.mark.parametrize("sample", [50, 100_000])
+def test_brute_force(spark, documents, sample):
+    held_against_brute_force(documents, sample)
+
+
+@pytest.mark.parametrize("ids", ["cast(null AS long)", "7L", "if(doc_id % 2 = 0, doc_id, null)"])
+def test_ids_do_not_matter(spark, documents, ids):
+    """Null ids, one id for all rows, and half of them null: the sample is that of the texts."""
+    as_is = quality.classify(documents, sample=60).select("votes", "score").collect()
+    got = quality.classify(documents.withColumn("doc_id", F.expr(ids)), sample=60).select("votes", "score").collect()
+    key = lambda rows: sorted((r.votes, round(r.score, 9)) for r in rows)
+    assert key(got) == key(as_is)
+
+
+def test_one_row_and_copies(spark, documents):
+    one = documents.where("text is not null").limit(1)
+    assert quality.classify(one).count() == 1
+    held_against_brute_force(one, 10)
+    held_against_brute_force(one.unionByName(one).unionByName(documents.limit(40)), 5)
+
+
+def test_cutoff(spark):
+    df = spark.createDataFrame([(h,) for h in [5, 5, -9, 3, 3, 3, 1 << 62, -(1 << 63)]], "h long")
+    for estimate in (1, 5, 10**9):
+        assert [quality.cutoff(df, k, estimate) for k in (1, 2, 3, 4, 5, 99)] == [-(1 << 63), -9, 3, 5, 1 << 62, 1 << 62]
