@@ -60,12 +60,40 @@ def test_targets(spark, sizes):
     assert {s: n for s, (n, _) in got.items()} == sizes and all(got[s][1] == pytest.approx(want[s]) for s in sizes)
 
 
-def test_equal_hashes_share_the_boundary(spark):
-    rows = [("a", 10, 5)] * 7 + [("b", 1, k) for k in range(20)]
-    df = spark.createDataFrame(rows, "source string, size long, h long")
-    goal = spark.createDataFrame([("a", 70, 33.0), ("b", 20, 12.0)], "source string, source_size long, target double")
-    got = {r.source: r for r in mixing.thresholds(df, goal).collect()}
-    assert (got["a"].below, got["a"].part) == (5, 4) and (got["b"].below, got["b"].part) == (12, 0)
+def test_ties_are_broken_by_text_and_place(spark):
+    rows = [("a", 10, 5, 1, p) for p in range(7)] + [("b", 1, k, 0, k) for k in range(20)] + [("c", 3, 9, k % 2, k) for k in range(10)]
+    df = spark.createDataFrame(rows, "source string, size long, h long, t long, p long")
+    goal = spark.createDataFrame([("a", 70, 33.0), ("b", 20, 12.0), ("c", 30, 17.5)], "source string, source_size long, target double")
+    got = {r.source: (tuple(r.limit), r.part) for r in mixing.thresholds(df, goal).collect()}
+    assert got == {"a": ((5, 1, 3), 3), "b": ((12, 0, 12), 0), "c": ((9, 1, 1), 2)}
+
+
+@pytest.mark.parametrize("few", [mixing.FEW_SOURCES, 0])
+def test_targets_are_met_whatever_the_ids(spark, monkeypatch, few):
+    """Null or repeated ids, equal texts and equal rows: a source's taken words are its target's, and no row exceeds twice its size. With few sources and, as if, with many."""
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    cases = [
+        [(None, "w", "a")] * 9 + [(None, "w " * 1991, "a"), (1, "w " * 1000, "b")],
+        [(None, "same text", "a")] * 300 + [(k, "x y z", "b") for k in range(90)] + [(3, f"t {k}", None) for k in range(50)],
+        [(k % 2, f"{'word ' * (k % 5)}", "ab"[k % 2]) for k in range(101)],
+    ]
+    for docs in cases:
+        rows = mixing.report(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)).collect()
+        sizes = defaultdict(int)
+        for _, t, s in docs:
+            sizes[s] += len(WORD.findall(t))
+        want, taken = targets(sizes), defaultdict(int)
+        by_target = {(sizes[s], round(want[s], 6)): s for s in want}
+        assert len(by_target) == len(want) and len(rows) == len(docs)
+        for r in rows:
+            assert 0 <= r.taken <= 2 * r.size
+            taken[by_target[r.source_size, round(r.target, 6)]] += r.taken
+        assert all(abs(taken[s] - want[s]) < 1 for s in want)
+
+
+def test_texts_are_not_exchanged(spark, documents):
+    plan = mixing.mixed(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
 
 
 def test_edges(spark, odd, clash, nothing):
