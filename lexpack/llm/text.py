@@ -24,14 +24,24 @@ LETTERS = bytes(32 if 48 <= b < 58 else WORDS[b] for b in range(256))
 
 SLICE_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
-_SPACE = re.compile(rb"[\x09-\x0d\x20]")
+_SPACE = re.compile(rb"(?<=[^\x09-\x0d\x1c-\x20])[\x09-\x0d\x20]")
+
+
+def _blank_before(raw: bytes, at: int) -> bool:
+    """Whether the character that ends before ``at`` is white space."""
+    start = at - 1
+    while start > 0 and raw[start] & 0xC0 == 0x80 and at - start < 4:
+        start -= 1
+    return raw[start:at].decode("utf-8", "replace").isspace()
 
 
 def pieces(raw: bytes, limit: int = PIECE_BYTES) -> Iterator[bytes]:
-    """``raw`` in parts of about ``limit`` bytes, cut only at ASCII white space."""
+    """``raw`` in parts of about ``limit`` bytes, cut only at ASCII white space that follows another character than white space, so runs stay whole."""
     at = 0
     while len(raw) - at > limit:
         m = _SPACE.search(raw, at + limit)
+        while m is not None and raw[m.start() - 1] > 127 and _blank_before(raw, m.start()):
+            m = _SPACE.search(raw, m.end())
         if m is None:
             break
         yield raw[at : m.start()]

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lexpack.llm import queries, tokencount
+from lexpack.llm.text import pieces
 
 
 def brute(rows):
@@ -54,3 +55,20 @@ def test_files_of_odd_size_are_refused(spark, tmp_path):
     four.write_bytes(np.array([1, 2, 9, 3, 9, 9], "<u4").tobytes())
     found = tokencount.count_files(spark, spark.createDataFrame([(str(four),)], "path string"), end=9, dtype="<u4", block_bytes=8)
     assert sorted(x.n_tokens for x in found.collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("run", ["   ", " \n\t ", "\u00a0 \u00a0", " \u3000 ", "\u2028 \x0b", "\x85  "])
+def test_cuts_at_every_offset_of_a_run_of_blanks(run):
+    """A text in pieces has as many tokens as the whole one, wherever the limit falls."""
+    e = tokencount.encoder(tokencount.TOKENIZER)
+    for text in (f"some words{run}é{run}and more{run}日本{run}.{run}", f"{run}it's{run}here {run} 12{run}é é"):
+        raw, whole = text.encode(), e.encode_ordinary(text)
+        for limit in range(len(raw) + 1):
+            parts = list(pieces(raw, limit)) if limit else [raw]
+            assert b"".join(parts) == raw
+            assert [x for p in parts for x in e.encode_ordinary(p.decode())] == whole
+
+
+def test_long_texts_with_runs_of_blanks(spark):
+    rows = [(k, "word " * ((1 << 20) // 5 - 1) + "x" * k + " " * 7 + "tail of words " * 20) for k in range(9)]
+    assert got(tokencount.report(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
