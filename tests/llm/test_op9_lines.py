@@ -8,24 +8,44 @@ from pyspark.sql import functions as F
 from lexpack.llm import lines, queries
 
 
-def brute(docs, least=2):
-    """Chunks by bytes alone: all but the first of the equal ones go."""
+def brute(docs, least=2, long=50):
+    """By bytes alone: of equal chunks all but the first go, then of equal runs of ``least`` lines and equal long lines in what is left."""
     order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i))
-    chunks = [[(b, n) for _, n, b in lines.chunked(None if t is None else t.encode())] for _, t in docs]
-    counts = Counter(b for own in chunks for b, n in own if n >= least and b.strip())
-    seen, out = set(), [None] * len(docs)
+    texts = [None if t is None else t.encode() for _, t in docs]
+    own = [[] if t is None else t.split(b"\n") for t in texts]
+    chunks = []
+    for t in texts:
+        at, out = 0, []
+        for _, n, b in lines.chunked(t):
+            if n >= least and b.strip():
+                out.append((at, n, b))
+            at += n
+        chunks.append(out)
+    again, gone = [set() for _ in docs], [set() for _ in docs]
+    counts, seen = Counter(b for x in chunks for _, _, b in x), set()
     for i in order:
-        kept, removed, repeated = [], 0, 0
-        for b, n in chunks[i]:
-            again = counts.get(b, 0) > 1 and n >= least
-            repeated += again
-            if again and b in seen:
-                removed += n
-            else:
-                kept.append(b)
-                if again:
-                    seen.add(b)
-        out[i] = (docs[i][0], None if docs[i][1] is None else b"\n".join(kept).decode(), sum(n for _, n in chunks[i]), removed, repeated)
+        for at, n, b in chunks[i]:
+            if counts[b] > 1:
+                again[i].update(range(at, at + n))
+                gone[i].update(range(at, at + n) if b in seen else ())
+                seen.add(b)
+    parts = []
+    for i, x in enumerate(own):
+        runs = [(k, least) for k in range(len(x) - least + 1) if all(y.split() for y in x[k : k + least])] + [(k, 1) for k, y in enumerate(x) if len(y.split()) > long]
+        parts.append([(k, n) for k, n in runs if not gone[i].issuperset(range(k, k + n))])
+    counts, seen = Counter(tuple(own[i][k : k + n]) for i, x in enumerate(parts) for k, n in x), set()
+    out = [None] * len(docs)
+    for i in order:
+        first, later = set(), set()
+        for k, n in sorted(parts[i]):
+            key = tuple(own[i][k : k + n])
+            if counts[key] > 1:
+                again[i].update(range(k, k + n))
+                (later if key in seen else first).update(range(k, k + n))
+                seen.add(key)
+        gone[i] |= later - first
+        kept = b"\n".join(y for k, y in enumerate(own[i]) if k not in gone[i])
+        out[i] = (docs[i][0], None if texts[i] is None else kept.decode(), len(own[i]), len(gone[i]), len(again[i]))
     return out
 
 
@@ -50,11 +70,38 @@ def test_moved_passages_are_found(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     check(lines.deduplicate(df), docs)
     for q in lines.deduplicate(df).where("doc_id > 0").collect():
-        assert q.n_removed >= 48 and q.text.count("\n") + 1 == q.n_lines - q.n_removed
+        assert q.n_removed == 60 and q.text.count("\n") + 1 == q.n_lines - q.n_removed
     first = lines.deduplicate(df).where("doc_id = 0").first()
     assert first.text == docs[0][1] and first.n_repeated > 0
 
 
+def test_short_passages_are_found(spark):
+    """Runs of two to five lines, and long single lines, inside different text."""
+    r = np.random.default_rng(9)
+    line = lambda n=6: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    docs, want = [], {}
+    for n in (1, 2, 3, 4, 5):
+        for k in range(6):
+            passage = [line(60 if n == 1 else 9) for _ in range(n)]
+            for c in range(3):
+                d = len(docs)
+                docs.append((d, "\n".join([line() for _ in range(r.integers(0, 5))] + passage + [line() for _ in range(r.integers(0, 5))])))
+                want[d] = n if c else 0
+    docs += [(len(docs) + k, line() + "\none short line alone\n" + line()) for k in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check(lines.deduplicate(df), docs)
+    assert {q.doc_id: q.n_removed for q in lines.deduplicate(df).collect()} == {d: want.get(d, 0) for d, _ in docs}
+
+
+def test_no_run_is_left_twice(spark, documents):
+    left = [r.text.split("\n") for r in lines.deduplicate(documents.select("doc_id", "text")).where("text is not null").collect()]
+    original = {r.doc_id: (r.text or "").split("\n") for r in documents.collect()}
+    n = Counter(p for x in original.values() for p in set(zip(x, x[1:], strict=False)))
+    assert sum(c > 1 for c in n.values()) > 10 and all(isinstance(x, list) for x in left)
+    long = Counter(y for x in left for y in x if len(y.split()) > 50)
+    assert max(long.values(), default=0) <= 1
+
+
 def test_short_hashes_are_told_apart_by_bytes(spark, documents):
     slim = documents.select("doc_id", "text")
     rows = lambda df: sorted(tuple(r) for r in df.collect())
@@ -74,7 +121,7 @@ def test_two_chunks_of_one_hash_give_a_new_seed(spark):
     seeds = []
     once = lines._once
     try:
-        lines._once = lambda *a: seeds.append(a[4]) or once(*a)
+        lines._once = lambda *a: seeds.append(a[5]) or once(*a)
         check(lines.deduplicate(df, hash_bits=8), docs)
     finally:
         lines._once = once
