@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexpack.session import ship, stored
+from lexpack.session import cut, ship, stored
 from lexpack.llm.graph import components, local_labels
 
 COSINE = 0.95
@@ -35,6 +35,8 @@ LEAST = 10
 BUCKET = 64
 BLOCK = 1024
 PARTS = 3
+#: Large filters (16 bytes each) that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 WIDE = 2.5
 #: The share of pairs at the wanted cosine that a code must give a common filter, the pairs it's tried on, and how lists grow.
 RECALL, TRIED, GROW, MOST_GROWTH = 0.99, 2000, 1.25, 32.0
@@ -180,35 +182,51 @@ def linked(x: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np.nda
     return x[a] @ x[b].T >= cosine
 
 
-def bucket_links(x: np.ndarray, filters: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right: np.ndarray, f: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links counted here, label) of each row of a filter's bucket: pairs of a left and another right row."""
+def covered(filters: np.ndarray, sizes: np.ndarray, f: int, rows: np.ndarray) -> np.ndarray:
+    """Boolean matrix of the pairs of ``rows`` that have a filter below f in common; filters: the lists of all rows, one after another."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.full(len(sizes), -1)
+    place[rows] = np.arange(len(rows))
+    at = np.flatnonzero((filters < f) & (place[owner] >= 0))
+    _, column, n = np.unique(filters[at], return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n > 1)
+    out = np.zeros((len(rows), len(rows)), np.float32)
+    number = np.full(len(n), -1)
+    for first in range(0, len(shared), 4096):
+        part = shared[first : first + 4096]
+        number[:] = -1
+        number[part] = np.arange(len(part))
+        own = number[column] >= 0
+        has = np.zeros((len(rows), len(part)), np.float32)
+        has[place[owner[at[own]]], number[column[own]]] = 1
+        out += has @ has.T
+    return out > 0
+
+
+def bucket_links(x: np.ndarray, filters: np.ndarray, sizes: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, f: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links counted here, label) of each row of a filter's bucket: pairs of a left and another right row.
+
+    filters: the rows' lists one after another; sizes: their lengths. Most buckets hold no link, and are done after one product.
+    """
     a, b = np.flatnonzero(left), np.flatnonzero(right)
     same = len(a) == len(b) and bool((a == b).all())
-    member = np.zeros(len(x), bool)
-    lower: dict[int, list[int]] = {}
-    for i, own in enumerate(filters):
-        for g in own[own < f].tolist():
-            lower.setdefault(g, []).append(i)
-    groups = []
-    for rows in lower.values():
-        if len(rows) > 1:
-            member[:] = False
-            member[rows] = True
-            groups.append((np.flatnonzero(member[a]), np.flatnonzero(member[b])))
+    total, labels = np.zeros(len(x), np.int64), np.arange(len(x))
     found = linked(x, a, b, cosine)
     if same:
         np.fill_diagonal(found, False)
-    counted = found.copy()
-    if found.any():
-        for u, v in groups:
-            if len(u) and len(v):
-                counted[np.ix_(u, v)] = False
-    total = np.zeros(len(x), np.int64)
+    if not found.any():
+        return total, labels
+    u, v = np.flatnonzero(found.any(axis=1)), np.flatnonzero(found.any(axis=0))
+    rows = np.unique(np.concatenate([a[u], b[v]]))
+    before = covered(filters, sizes, f, rows)
+    found = found[np.ix_(u, v)]
+    a, b = a[u], b[v]
+    counted = found & ~before[np.ix_(np.searchsorted(rows, a), np.searchsorted(rows, b))]
     total[a] += counted @ weight[b]
     if not same:
         total[b] += counted.T @ weight[a]
-    labels = local_labels(len(x), ((int(a[i]), b[found[i]]) for i in np.flatnonzero(found.any(axis=1)).tolist()))
-    return total, labels
+    # A pair that a lower filter has too was joined there.
+    return total, local_labels(len(x), ((int(a[i]), b[counted[i]]) for i in np.flatnonzero(counted.any(axis=1)).tolist()))
 
 
 def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, lists: int = LISTS, bucket: int = BUCKET, least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -246,26 +264,42 @@ def report(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
                 for part in np.array_split(at, max(1, len(at) * dim // 1_000_000)):
                     x = unit(np.stack([unpacked(blobs[i]) for i in part]))
                     found = code_for(dim, n, cosine, lists, bucket, least, growth[max(2, (dim - 1).bit_length())]).decode(x)
-                    each = pa.array(np.repeat(part, [len(f) for f in found]))
-                    arrays = [batch.column(0).take(each), batch.column(2).take(each), batch.column(1).take(each), pa.array([dim] * len(each)), pa.array([g for f in found for g in f], pa.int32()), pa.array([f for f in found for _ in f], pa.list_(pa.int32()))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["node", "copies", "v", "dim", "f", "filters"])
-
-    members = classes.select("node", "v", "copies").mapInArrow(listed, "node long, copies long, v binary, dim long, f int, filters array<int>")
-    sizes = classes.select("node", "v", "copies").mapInArrow(listed, "node long, copies long, v binary, dim long, f int, filters array<int>").groupBy("dim", "f").count()
-    members = members.join(sizes.where(f"count > {block}").select("dim", "f", F.ceil(F.col("count") / block).cast("int").alias("n")), ["dim", "f"], "left")
+                    own = pa.array(part)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), batch.column(1).take(own), pa.array([dim] * len(part)), pa.array(found, pa.list_(pa.int32()))], names=["node", "copies", "v", "dim", "filters"])
+
+    coded = stored(classes.select("node", "v", "copies").mapInArrow(listed, "node long, copies long, v binary, dim long, filters array<int>"), "vector-filters")
+    sizes = coded.select("dim", F.explode("filters").alias("f")).groupBy("dim", "f").count()
+    large = cut(sizes.where(f"count > {block}").select("dim", "f", F.ceil(F.col("count") / block).cast("int").alias("n")))
+    members = coded.select("*", F.explode("filters").alias("f"))
+    # With a broadcast the members are exchanged once, for the comparison, and not for this too.
+    members = members.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, ["dim", "f"], "left")
     dealt = members.withColumn("n", F.coalesce("n", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("lo", F.least("p", "q")).withColumn("hi", F.greatest("p", "q"))
-
-    def per_bucket(key, table):
-        f, lo, hi = (key[i].as_py() for i in (1, 2, 3))
-        node, p = table.column("node").to_numpy(), table.column("p").to_numpy()
-        x = unit(np.stack([unpacked(v.as_py()) for v in table.column("v")]))
-        filters = [v.values.to_numpy() for v in table.column("filters")]
-        total, labels = bucket_links(x, filters, table.column("copies").to_numpy(), p == lo, p == hi, f, cosine)
-        at = np.flatnonzero((total > 0) | (labels != np.arange(len(labels))))
-        return pa.table({"a": node[at], "b": node[labels[at]], "n": total[at]})
-
-    found = stored(dealt.select("dim", "f", "lo", "hi", "p", "node", "copies", "v", "filters").groupBy("dim", "f", "lo", "hi").applyInArrow(per_bucket, "a long, b long, n long"), "vector-links")
+    # Small buckets share a call: a call costs more than such a bucket. Those in parts are of up to two blocks and have their own.
+    dealt = dealt.withColumn("g", F.when(F.col("n") == 1, F.pmod(F.xxhash64("f"), F.lit(max(1, n * 32 // (8 * block)))))).select("dim", "g", "f", "lo", "hi", "p", "node", "copies", "v", "filters")
+
+    def per_group(key, table):
+        f, lo, hi = (table.column(c).to_numpy() for c in ("f", "lo", "hi"))
+        order = np.lexsort((hi, lo, f))
+        ends = np.flatnonzero(np.diff(f[order]) | np.diff(lo[order]) | np.diff(hi[order])) + 1
+        made = [pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})]
+        for at in np.split(order, ends):
+            if len(at) < 2:
+                continue
+            own = table.take(pa.array(np.sort(at)))
+            node, p = own.column("node").to_numpy(), own.column("p").to_numpy()
+            i = int(at[0])
+            x = unit(np.stack([unpacked(v.as_py()) for v in own.column("v")]))
+            own_filters = own.column("filters").combine_chunks()
+            total, labels = bucket_links(x, own_filters.flatten().to_numpy(), np.diff(own_filters.offsets.to_numpy()), own.column("copies").to_numpy(), p == lo[i], p == hi[i], int(f[i]), cosine)
+            hit = np.flatnonzero((total > 0) | (labels != np.arange(len(labels))))
+            made.append(pa.table({"a": node[hit], "b": node[labels[hit]], "n": total[hit]}))
+        return pa.concat_tables(made)
+
+    # Groups of small buckets are not by filter alone, so a group's key has no filter but where a bucket is in parts.
+    alone = F.when(F.col("g").isNull(), F.col("f")), F.when(F.col("g").isNull(), F.col("lo")), F.when(F.col("g").isNull(), F.col("hi"))
+    keyed_dealt = dealt.withColumns({"k1": alone[0], "k2": alone[1], "k3": alone[2]})
+    found = stored(keyed_dealt.groupBy("dim", "g", "k1", "k2", "k3").applyInArrow(per_group, "a long, b long, n long"), "vector-links")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.select("a", "b"))
     nodes = classes.join(counts, "node", "left").join(roots, "node", "left").select("v", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))

@@ -86,3 +86,35 @@ def test_edges(spark):
     assert (1, 5) in got and (10, 5) in got and (11, 5) in got and got[None, 5].component_id == 1 and got[1, 5].kept and not got[2, 5].kept
     assert all((i, 0) in got for i in (3, 4, 5, 6, 7, 8, 9)) and got[None, 0].component_id is None and got[12, 1].component_id == 12 and got[13, 1].component_id == 12
     assert embeddings.report(df.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that the operator makes for itself, or like its result, change nothing."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(11)
+    base = r.standard_normal((30, 8))
+    rows = [(i, (base[i % 30] + 0.02 * r.standard_normal(8)).tolist()) for i in range(60)] + [(None, base[0].tolist()), (99, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    more = df.withColumns({c: F.lit("own") for c in ("n_links", "component_id", "kept", "v", "e", "bad", "node", "dim", "f", "p", "g", "n", "copies", "least", "filters")})
+    assert found(embeddings.report(more)) == sorted(brute(rows), key=key) == found(embeddings.report(df))
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_bucket_links_against_all_pairs(blocks):
+    """Counts over all filters together are those of the pairs that share one, whatever the buckets."""
+    r = np.random.default_rng(blocks)
+    x = embeddings.unit(r.standard_normal((12, 6))[r.integers(0, 12, 90)] + 0.1 * r.standard_normal((90, 6)))
+    lists = [np.unique(r.integers(0, 9, 4)) for _ in x]
+    weight, p = r.integers(1, 4, len(x)), r.integers(0, blocks, len(x))
+    total = np.zeros(len(x), np.int64)
+    for f in range(9):
+        for lo in range(blocks):
+            for hi in range(lo, blocks):
+                at = np.array([i for i in range(len(x)) if f in lists[i] and p[i] in (lo, hi)])
+                if len(at):
+                    n, _ = embeddings.bucket_links(x[at], np.concatenate([lists[i] for i in at]), np.array([len(lists[i]) for i in at]), weight[at], p[at] == lo, p[at] == hi, f, 0.95)
+                    total[at] += n
+    near = x @ x.T >= 0.95
+    want = np.array([[near[i, j] and i != j and bool(set(lists[i]) & set(lists[j])) for j in range(len(x))] for i in range(len(x))])
+    assert (total == want @ weight).all() and want.sum() > 100
