@@ -111,3 +111,47 @@ def test_probabilities_of_all_words_add_up(spark):
         counter[h] += p_end
         assert first.n_words >= 4
     assert all(x == pytest.approx(1, abs=1e-9) for x in counter.values())
+
+
+def test_rounds():
+    for most in (2, 3, 256):
+        for chunks in (1, 2, 3, 4, 5, 100, 256, 257, 65_536, 65_537, 10**7):
+            rounds, fan = ngram.rounds_for(chunks, most)
+            assert fan**rounds >= chunks and fan <= most and (rounds == 1 or most ** (rounds - 1) < chunks)
+
+
+@pytest.mark.parametrize("most_fan", [2, 3])
+def test_many_rounds_give_what_one_does(spark, plain, most_fan):
+    rows = [r[:2] for r in plain[:60]] + [(None, "a a b"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(ngram.report(df, order=3, chunk_bytes=2000, most_fan=most_fan), brute(rows, 3))
+
+
+def test_messages_grow_as_the_input(spark, plain, monkeypatch):
+    """A round has about ``fan`` messages for each chunk, at one size and at four times it."""
+    kept, ratios = [], []
+    stored = ngram.stored
+    monkeypatch.setattr(ngram, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    text = " ".join(t for _, t, _, _ in plain if t)
+    for size in (40, 160):
+        kept.clear()
+        words = text.split()[: size * 60]
+        rows = [(i, " ".join(words[60 * i : 60 * i + 60])) for i in range(size)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        ngram.report(df, chunk_bytes=1500, most_fan=4).count()
+        chunks = kept[0].select("fs").distinct().count()
+        rounds, fan = ngram.rounds_for(chunks, 4)
+        most = max(x.count() for x in kept)
+        ratios.append(most / chunks)
+        assert rounds >= 2 and len(kept) in (2 * rounds - 1, 2 * rounds + 1) and most <= fan * max(chunks, fan**rounds)
+    assert ratios[1] <= 1.5 * ratios[0]
+
+
+def test_a_changed_chunk_fails(spark):
+    """Texts that come out otherwise the second time, with as many n-grams, are found out."""
+    import uuid
+
+    fresh = F.udf(lambda i: f"same words {uuid.uuid4().hex}").asNondeterministic()
+    shaky = spark.range(50).select(F.col("id").alias("doc_id"), fresh("id").alias("text"))
+    with pytest.raises(Exception, match="not those that were counted"):
+        ngram.report(shaky).collect()
