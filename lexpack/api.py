@@ -9,6 +9,9 @@ import math
 import time
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ProcessPoolExecutor
+from functools import partial
+from multiprocessing import get_context
 
 from lexpack.functions import container, stream
 from lexpack.functions.container import IndexWriter, count, read  # noqa: F401
@@ -27,12 +30,23 @@ def decompress(blob: bytes, dictionary=None, vocabulary: Vocabulary | None = Non
     return stream.decompress(blob, vocabulary or _plain(), dictionary)
 
 
-def compress_each(records: Iterable[bytes | str], **how) -> list[bytes]:
-    return [compress(r, **how) for r in records]
+def _each(f, records, workers: int | None) -> list[bytes]:
+    """``f`` of every record in order, by so many processes; None or 1: by this one. ``f`` must be picklable."""
+    if workers is None or workers == 1:
+        return [f(r) for r in records]
+    if workers < 1:
+        raise ValueError("workers must be at least 1")
+    held = list(records)
+    with ProcessPoolExecutor(workers, get_context("spawn")) as pool:
+        return list(pool.map(f, held, chunksize=max(1, len(held) // (8 * workers))))
 
 
-def decompress_each(streams: Iterable[bytes], **how) -> list[bytes]:
-    return [decompress(s, **how) for s in streams]
+def compress_each(records: Iterable[bytes | str], workers: int | None = None, **how) -> list[bytes]:
+    return _each(partial(compress, **how), records, workers)
+
+
+def decompress_each(streams: Iterable[bytes], workers: int | None = None, **how) -> list[bytes]:
+    return _each(partial(decompress, **how), streams, workers)
 
 
 def pack(records: Iterable[bytes | str], dictionary=None, vocabulary: Vocabulary | None = None, integrity: bool = True) -> bytes:

@@ -223,10 +223,10 @@ def priming(rows: DataFrame, picker: str, most: int = PRIMING, length: int = SEG
     if picker == "concat":
         before = F.sum(F.size("tokens")).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
         first = rows.where(F.size("tokens") > 0).orderBy("id").limit(most)
-        found = first.withColumn("b", F.coalesce(before, F.lit(0))).where(F.col("b") < most).orderBy("id").collect()
+        found = first.withColumn("b", F.coalesce(before, F.lit(0))).where(F.col("b") < most).orderBy("id").select(F.slice("tokens", 1, most).alias("tokens")).collect()
         return _take([r.tokens for r in found], most)
     if picker == "coverage":
-        best = rows.join(coverage(rows), "id").orderBy(F.col("score").desc(), F.col("id").desc()).limit(most).collect()
+        best = rows.join(coverage(rows), "id").orderBy(F.col("score").desc(), F.col("id").desc()).limit(most).select(F.slice("tokens", 1, most).alias("tokens")).collect()
         return _take([r.tokens for r in best], most)
     if picker == "diverse":
         distinct = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.struct(F.min("id").alias("id")).alias("first"), F.count(F.lit(1)).alias("copies"))

@@ -65,11 +65,13 @@ def id_list_size(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
 def code_length(events: DataFrame, tables: DataFrame, keys: list[str], by: list[str], symbol: str, escape_bits: float = 0.0) -> DataFrame:
     """(by, bits): the ideal length of each record's symbols under the tables of their keys; a missing symbol costs ``escape_bits``.
 
-    events: (by, keys, symbol) a row a symbol, counted before the join, so the join sees distinct symbols only.
+    events: (by, keys, symbol) a row a symbol, counted before the join, so the join sees distinct symbols only. A null key is a key.
     """
     counted = events.groupBy(*by, *(k for k in keys if k not in by), symbol).agg(F.count(F.lit(1)).alias("_n"))
     bits = F.coalesce(LOG - F.log2("freq"), F.lit(escape_bits))
-    return counted.join(tables.select(*keys, symbol, "freq"), [*keys, symbol], "left").groupBy(*by).agg(F.sum(F.col("_n") * bits).alias("bits"))
+    own = tables.select(*(F.col(k).alias(f"_t{i}") for i, k in enumerate([*keys, symbol])), "freq")
+    same = [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate([*keys, symbol])]
+    return counted.join(own, same, "left").groupBy(*by).agg(F.sum(F.col("_n") * bits).alias("bits"))
 
 
 def contexts(pairs: DataFrame, support: int = 20, most: int = 64) -> DataFrame:

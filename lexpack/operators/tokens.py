@@ -10,10 +10,9 @@ from lexpack.functions.vocabulary import PATTERN, Vocabulary
 
 
 def pieces(text: Column | str, pattern: str = PATTERN) -> Column:
-    """The pieces of a text in order; they join to the text. Null gives null.
+    """The pieces of a text in order; with the default pattern they join to the text. Null gives null.
 
-    Spark's engine has ASCII white space unless told otherwise, hence ``(?U)``. U+001C to U+001F are no white space there; such
-    characters fall into pieces of signs.
+    Spark's engine has ASCII white space unless told otherwise, hence ``(?U)`` for patterns that ask for it.
     """
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexpack.functions import stream
+from lexpack.functions.ans import Table
 from lexpack.functions.vocabulary import Vocabulary
 from lexpack.operators import codec, containers, dictionary, profile, tables, tokens, training
 from lexpack.session import cut, shared_dir, ship, spread
@@ -76,7 +77,7 @@ def event_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(rows, ["type"], bytes_column(rows), F.octet_length("data"))
 
 
-def bigram_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bigram_mi_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 neighbouring pieces of each source with the most pointwise information in sum; among equals by piece."""
     rows = records(spark, sf_dir)
     t = tokens.pieces(F.col("text"))
@@ -140,7 +141,7 @@ def sparse_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ideal bits of each document under its source's table."""
     rows = records(spark, sf_dir)
     own = rows.select("id", "source", F.explode(bytes_column(rows)).alias("symbol"))
-    cost = tables.code_length(own.na.fill("", ["source"]), _byte_table(spark, sf_dir).na.fill("", ["source"]), ["source"], ["id"], "symbol")
+    cost = tables.code_length(own, _byte_table(spark, sf_dir), ["source"], ["id"], "symbol")
     return cost.select("id", F.round("bits", 4).alias("bits"))
 
 
@@ -191,8 +192,9 @@ def cascade_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = profile.exploded(rows, ["id"], bytes_column(rows)).withColumnRenamed("token", "symbol")
     each = each.withColumn("context", F.coalesce(F.lag("symbol").over(Window.partitionBy("id").orderBy("pos")), F.lit(-1)))
     counted = each.groupBy("id", "context", "symbol").agg(F.count(F.lit(1)).alias("k"))
-    order1 = context_tables(spark, sf_dir).where("symbol < 257").select(F.col("context").alias("c"), F.col("symbol").alias("s"), F.col("freq").alias("f1"))
-    escape = context_tables(spark, sf_dir).where("symbol = 257").select(F.col("context").alias("c"), F.col("freq").alias("fe"))
+    found = cut(context_tables(spark, sf_dir))
+    order1 = found.where("symbol < 257").select(F.col("context").alias("c"), F.col("symbol").alias("s"), F.col("freq").alias("f1"))
+    escape = found.where("symbol = 257").select(F.col("context").alias("c"), F.col("freq").alias("fe"))
     one = counted.groupBy("symbol").agg(F.sum("k").alias("n")).withColumn("t", F.lit(0))
     order0 = tables.normalised(one, ["t"], "symbol", "n").select(F.col("symbol").alias("s"), F.col("freq").alias("f0"))
     joined = counted.join(order1, (F.col("context") == F.col("c")) & (F.col("symbol") == F.col("s")), "left").drop("c", "s")
@@ -227,7 +229,7 @@ def coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.orderBy(F.col("score").desc(), F.col("id").desc()).limit(100)
 
 
-def dmer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dmer_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 500 most frequent runs of eight pieces."""
     each = dictionary.dmers(_pieces(spark, sf_dir), [])
     counted = each.groupBy(F.array_join("dmer", "").alias("dmer")).agg(F.count(F.lit(1)).alias("n"))
@@ -266,9 +268,20 @@ def container_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record with ordinal 1 of every conversation."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return containers.record(rows, ["conv_id"], "turn", 1).select("conv_id", "turn", "text")
+    """The record with ordinal 1 of every conversation, read out of an index of its turns without decoding others."""
+    data = F.concat_ws("|", F.col("turn").cast("string"), F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode(data, "UTF-8").alias("data"))
+    packed = cut(_whole_indexes(rows, "conv_id", "turn"))
+    # Where a conversation was cut between two tasks, its record 1 may be the first of the second part.
+    parts = [packed.where(f"at = {k} and n_records > {1 - k}").select("conv_id", containers.read(1 - k)("blob").cast("string").alias("r")) for k in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("conv_id", F.substring_index("r", "|", 1).cast("long").alias("turn"), F.expr("substring(r, locate('|', r) + 1)").alias("text"))
+
+
+def _whole_indexes(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Indexes of each key's records (data); ``at``: the records in those before, where a key was cut between two tasks."""
+    packed = containers.pack(rows, [key], "data", order, kind="index", fast=True, most_bytes=1 << 62)
+    before = F.sum("n_records").over(Window.partitionBy(key).orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    return packed.withColumn("at", F.coalesce(before, F.lit(0)))
 
 
 def record_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,10 +298,17 @@ def per_source_ratio_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by source whose benchmark registry lacks their digest: what is looked up before decoding."""
-    known = table(spark, sf_dir, "benchmark").select(F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")).distinct()
-    rows = records(spark, sf_dir).select("id", F.sha2("data", 256).alias("digest"))
-    return rows.join(known, "digest", "left_anti")
+    """Event streams whose dictionary a registry lacks, found by parsing their headers: events with odd ids are coded with the one that it doesn't know."""
+    rows = events(spark, sf_dir).select("id", "data")
+    known, other = (_flat_dictionary(text) for text in (b"click|view", b"purchase"))
+    streams = [rows.where(f"id % 2 = {k}").select("id", codec.compress(dictionary=d, mode=stream.DICTIONARY)("data").alias("blob")) for k, d in enumerate((known, other))]
+    registry = spark.createDataFrame([(known.fingerprint.hex(),)], "fingerprint string")
+    return codec.unknown(streams[0].unionByName(streams[1]), registry).select("id")
+
+
+def _flat_dictionary(priming: bytes) -> dictionary.Dictionary:
+    """A dictionary of priming text and a table of all bytes and the match flag alike."""
+    return dictionary.Dictionary(list(priming), Table.of(list(range(258)), [1] * 258), {}, 257, Vocabulary().fingerprint)
 
 
 # Round trips.
@@ -336,13 +356,13 @@ def stream_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' streams with their last byte changed, or cut by one: what is not found out."""
+    """Documents' streams with their last byte changed, or cut by one, and whether decoding found it out."""
     blobs = records(spark, sf_dir).select("id", codec.compress(fast=True)("data").alias("b"))
     n = F.octet_length("b")
     last = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring("b", n, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(255))), 2, "0"))
     head = F.substring("b", F.lit(1), n - 1)
-    bad = blobs.select("id", F.explode(F.array(F.concat(head, last), head)).alias("b"))
-    return bad.select("id", codec.try_decompress()("b").alias("x")).where("x.error is null").select("id", F.col("x.data").cast("string").alias("text"))
+    bad = blobs.select("id", F.explode(F.create_map(F.lit("changed"), F.concat(head, last), F.lit("cut"), head)).alias("damage", "b"))
+    return bad.select("id", "damage", codec.try_decompress()("b").alias("x")).select("id", "damage", F.col("x.error").isNotNull().alias("found"))
 
 
 def event_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,12 +381,12 @@ def roundtrip_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary trained on all documents, written as a rank file and read back: the tokens that differ, none."""
+    """The ranks of a vocabulary trained on all documents, and whether each has the same token after a rank file was written and read back."""
     v = _vocabulary(records(spark, sf_dir))
     path = f"{shared_dir(spark).rstrip('/')}/lexpack/ranks-{uuid.uuid4().hex}"
     files.save_vocabulary(spark, v, path)
-    own = spark.createDataFrame([(t, i) for t, i in v.ranks.items()], "token binary, rank int")
-    return own.exceptAll(files.read_ranks(spark, path)).select(F.hex("token").alias("token"), F.col("rank").cast("long").alias("rank"))
+    own = spark.createDataFrame([(t, i) for t, i in v.ranks.items()], "own binary, rank int")
+    return own.join(files.read_ranks(spark, path), "rank", "full").select(F.col("rank").cast("long").alias("rank"), F.col("own").eqNullSafe(F.col("token")).alias("same"))
 
 
 def _vocabulary(rows: DataFrame, size: int = 1024) -> Vocabulary:
@@ -382,11 +402,11 @@ def roundtrip_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event records after coding with a dictionary trained on those whose id hash says so (a third), and back."""
+    """Event records after coding with the layout of a dictionary trained on those whose id hash says so (a third), and back."""
     rows = events(spark, sf_dir)
     d = dictionary.train(rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 0))
-    blob = rows.select("id", codec.compress(dictionary=d)("data").alias("blob"))
-    return blob.select("id", codec.decompress(dictionary=d)("blob").cast("string").alias("record"))
+    blob = rows.select("id", codec.compress(dictionary=d, mode=stream.DICTIONARY)("data").alias("blob"))
+    return blob.select("id", codec.decompress(dictionary=d)("blob").cast("string").alias("record"), codec.parse_header()("blob")["mode"].alias("mode"))
 
 
 def roundtrip_pack_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,18 +420,16 @@ def roundtrip_pack_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns packed into an index a conversation and unpacked, with the order of turns."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    packed = containers.pack(rows, ["conv_id"], "data", "turn", kind="index", fast=True, most_bytes=1 << 62)
-    # Where a conversation is cut between two tasks, the parts' numbers go on from each other.
-    before = F.coalesce(F.sum("n_records").over(Window.partitionBy("conv_id").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = containers.unpack(packed.withColumn("at", before), "blob", keep=["conv_id", "at"])
+    each = containers.unpack(_whole_indexes(rows, "conv_id", "turn"), "blob", keep=["conv_id", "at"])
     return each.select("conv_id", (F.col("at") + F.col("ordinal")).alias("ordinal"), F.col("data").cast("string").alias("text"))
 
 
 def vocabulary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of a vocabulary trained on all documents that no two tokens of lower rank make: none."""
+    """The ranks beyond the single bytes of a vocabulary trained on all documents, and whether two tokens of lower rank make each token."""
     v = _vocabulary(records(spark, sf_dir))
     ranks = spark.createDataFrame([(t, i) for t, i in v.ranks.items()], "token binary, rank int")
-    return training.broken(ranks).select(F.hex("token").alias("token"), F.col("rank").cast("long").alias("rank"))
+    bad = training.broken(ranks).select("rank", F.lit(False).alias("joined"))
+    return ranks.where("octet_length(token) > 1").join(bad, "rank", "left").select(F.col("rank").cast("long").alias("rank"), F.coalesce("joined", F.lit(True)).alias("joined"))
 
 
 def compression_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,8 +445,8 @@ def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = (
-        pretoken_counts, piece_lengths, token_profile, event_profile, bigram_mi, symbol_topk, freq_table_normalized, cum_freq, varint_sizes, symbol_list_bytes, raw_token_bits,
-        sparse_code_length, chunk_history_counts, context_tables, context_escape_mass, doc_frequency, coverage_rank, dmer_frequency, segment_candidates, segment_scores,
+        pretoken_counts, piece_lengths, token_profile, event_profile, bigram_mi_top, symbol_topk, freq_table_normalized, cum_freq, varint_sizes, symbol_list_bytes, raw_token_bits,
+        sparse_code_length, chunk_history_counts, context_tables, context_escape_mass, doc_frequency, coverage_rank, dmer_top, segment_candidates, segment_scores,
         bpe_pair_counts, jsonl_record_split, container_offsets, indexed_read, record_size_histogram, per_source_ratio_inputs, fingerprint_antijoin,
         chunk_sizes, match_candidates, cascade_cost, priming_budget, stream_headers, damaged_streams, event_lengths, roundtrip_source, roundtrip_ranks,
         roundtrip_smallest, roundtrip_fast, roundtrip_events, roundtrip_vocab, roundtrip_dictionary, roundtrip_pack_unpack, roundtrip_index, vocabulary_chain,

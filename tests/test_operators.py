@@ -318,3 +318,33 @@ def test_small_scans_are_dealt_out(spark, tmp_path):
         assert out.rdd.getNumPartitions() == cores and sorted(r.id for r in out.collect()) == list(range(100))
     wide = df.repartition(cores + 1)
     assert spread(wide) is wide
+
+
+def test_merges_on_the_cluster_are_those_on_the_driver(spark):
+    r = __import__("random").Random(4)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 9))) for _ in range(300)] + ["aaaaaaa", "bb"] * 5
+    df = spark.createDataFrame([(i, bytearray(w.encode())) for i, w in enumerate(words)], "id long, data binary")
+    here, there = (training.train(df, 290, sample_bytes=None, few_pieces=k) for k in (10**6, 0))
+    assert here.ranks == there.ranks and len(here.ranks) == 290
+
+
+def test_code_length_with_null_and_empty_keys(spark):
+    events = spark.createDataFrame([(1, None, 7), (1, None, 7), (2, "", 7)], "id int, source string, symbol int")
+    own = spark.createDataFrame([(None, 7, 1 << 15), ("", 7, 1 << 14)], "source string, symbol int, freq long")
+    assert {x.id: x.bits for x in tables.code_length(events, own, ["source"], ["id"], "symbol").collect()} == {1: 2.0, 2: 2.0}
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from lexpack import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())

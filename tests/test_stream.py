@@ -182,7 +182,7 @@ def test_matches_of_anything(tokens):
 def test_bpe_of_a_vocabulary_is_its_merges():
     from lexpack.operators.training import merges, vocabulary_of
 
-    pieces = {b"low": 5, b" lower": 4, b" newest": 6, b" widest": 3, b"\xff\xfe\xff\xfe": 2}
+    pieces = {b"low": 5, b"lower ": 4, b"newest ": 6, b"widest ": 3, b"\xff\xfe\xff\xfe": 2}
     chain = merges(pieces, 20)
     v = vocabulary_of(chain)
     v.check()
@@ -199,3 +199,43 @@ def test_bpe_of_a_vocabulary_is_its_merges():
     assert Vocabulary.from_lines(v.lines()).fingerprint == v.fingerprint
     with pytest.raises(ValueError):
         Vocabulary({b"ab": 256, **{bytes([b]): b for b in range(256) if b != 97}, b"a": 97, b"abcd": 257}).check()
+
+
+def plain_merges(pieces, n):
+    """BPE by its definition: all pairs are counted anew for every merge."""
+    words, out = [(list(p), c) for p, c in pieces.items()], []
+    while len(out) < n:
+        counts = {}
+        for ids, c in words:
+            for pair in zip(ids, ids[1:], strict=False):
+                counts[pair] = counts.get(pair, 0) + c
+        if not counts:
+            break
+        best = min(counts, key=lambda p: (-counts[p], p))
+        for k, (ids, c) in enumerate(words):
+            i, made = 0, []
+            while i < len(ids):
+                hit = tuple(ids[i : i + 2]) == best
+                made.append(256 + len(out) if hit else ids[i])
+                i += 1 + hit
+            words[k] = (made, c)
+        out.append(best)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.binary(max_size=12).map(lambda b: bytes(x % 3 + 97 for x in b)), st.integers(1, 5), max_size=12))
+def test_merges_are_those_of_the_definition(pieces):
+    from lexpack.operators.training import merges
+
+    assert merges(pieces, 30) == plain_merges(pieces, 30)
+
+
+def test_lists_on_several_processes():
+    from lexpack import api
+
+    data = [f"record {i % 7}".encode() * (i % 5) for i in range(50)]
+    streams = api.compress_each(data, workers=2)
+    assert streams == api.compress_each(data) and api.decompress_each(streams, workers=2) == data
+    with pytest.raises(ValueError):
+        api.compress_each(data, workers=-1)
