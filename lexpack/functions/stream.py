@@ -19,8 +19,9 @@ from collections import Counter
 from lexpack.functions import lz
 from lexpack.functions.ans import LOG, Decoder, Table, flush
 from lexpack.functions.bits import Source, ids_from, ids_to_bytes, pack_bits, unpack_bits, varint
+from lexpack.functions.vocabulary import _plain
 
-MAGIC, VERSION = b"LXPK", 1
+MAGIC, VERSION = b"LXPK", 2
 RAW, SPARSE, EMPTY, DICTIONARY, ADAPTIVE, SPLIT, ADAPTIVE_SPLIT, CONTEXT, CONTEXT_SPLIT = range(9)
 NAMES = ("raw", "sparse", "empty", "dictionary", "adaptive", "split", "adaptive_split", "context", "context_split")
 CRC, STAMP = 0x80, 0x40
@@ -402,23 +403,30 @@ def compress(data: bytes, vocabulary, trained=None, integrity: bool = True, fast
                     raise ValueError("the dictionary was trained with another vocabulary")
                 built.append((DICTIONARY, encode_events(lz.parse(tokens, trained.history), DICTIONARY, flag, trained)))
         best, payload = min(built, key=lambda x: len(x[1]))
-    out = MAGIC + bytes([VERSION, best | STAMP | CRC * bool(integrity)]) + len(data).to_bytes(4, "little") + payload + vocabulary.fingerprint
-    return out + zlib.crc32(data, zlib.crc32(out[:10])).to_bytes(4, "little") if integrity else out
+    stamp = b"" if vocabulary.plain else vocabulary.fingerprint
+    head = MAGIC + bytes([VERSION, best | STAMP * bool(stamp) | CRC * bool(integrity)]) + varint(len(data))
+    out = head + payload + stamp
+    return out + zlib.crc32(data, zlib.crc32(head)).to_bytes(4, "little") if integrity else out
 
 
 def header(blob: bytes) -> dict:
-    """magic-checked fields of a stream: mode, size, crc, stamp, dictionary (fingerprint or None), vocabulary."""
+    """magic-checked fields of a stream: mode, size, crc, vocabulary (its fingerprint; that of the single bytes is not in the stream), payload, head (the bytes before)."""
     if blob[:4] != MAGIC:
         raise ValueError("not a record stream")
-    if len(blob) < 18:
+    if len(blob) < 7:
         raise ValueError("the stream is cut off")
     if blob[4] != VERSION:
         raise ValueError(f"version {blob[4]} is unknown")
-    mode, has_crc = blob[5] & 31, bool(blob[5] & CRC)
-    if mode >= len(NAMES) or not blob[5] & STAMP or blob[5] & 0x20:
+    mode, stamped, has_crc = blob[5] & 31, bool(blob[5] & STAMP), bool(blob[5] & CRC)
+    if mode >= len(NAMES) or blob[5] & 0x20:
         raise ValueError(f"mode byte {blob[5]} is unknown")
-    end = len(blob) - 4 * has_crc
-    return {"mode": mode, "size": int.from_bytes(blob[6:10], "little"), "crc": has_crc, "vocabulary": blob[end - 8 : end], "payload": blob[10 : end - 8]}
+    source = Source(blob)
+    source.take(6)
+    size, end = source.varint(), len(blob) - 4 * has_crc
+    if end - 8 * stamped < source.at or size >= 1 << 32:
+        raise ValueError("the stream is cut off")
+    stamp = blob[end - 8 : end] if stamped else _plain().fingerprint
+    return {"mode": mode, "size": size, "crc": has_crc, "vocabulary": stamp, "payload": blob[source.at : end - 8 * stamped], "head": blob[: source.at]}
 
 
 def decompress(blob: bytes, vocabulary, trained=None) -> bytes:
@@ -437,6 +445,6 @@ def decompress(blob: bytes, vocabulary, trained=None) -> bytes:
         data = vocabulary.decode(tokens)
     if source.left or len(data) != size:
         raise ValueError(f"{len(data)} bytes were decoded and {source.left} left over; the header says {size}")
-    if h["crc"] and zlib.crc32(data, zlib.crc32(blob[:10])) != int.from_bytes(blob[-4:], "little"):
+    if h["crc"] and zlib.crc32(data, zlib.crc32(h["head"])) != int.from_bytes(blob[-4:], "little"):
         raise ValueError("the checksum differs")
     return data

@@ -47,7 +47,7 @@ def test_wanted_ordinals_read_only_their_streams(tmp_path, spark, rows):
     rows.coalesce(1).select("data").write.format("lexpack").options(**options(path)).mode("append").save()
     (name, size), = store.listed(str(path))
     blob = bytearray(store.get(name))
-    blob[-5] ^= 255  # the last record is damaged: a byte of its vocabulary's stamp
+    blob[-5] ^= 255  # the last record is damaged: the byte before its checksum
     store.put(name, bytes(blob))
     back = spark.read.format("lexpack").options(**options(path)).load()
     assert bytes(spark.read.format("lexpack").options(**options(path, ordinals=5)).load().first().data) == RECORDS[5]

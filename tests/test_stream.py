@@ -44,7 +44,7 @@ def test_empty_has_its_own_layout_and_a_checksum():
     assert stream.header(blob)["mode"] == stream.EMPTY and stream.decompress(blob, PLAIN) == b""
     zeroed = stream.compress(b"abc" * 50, PLAIN)
     with pytest.raises(ValueError):
-        stream.decompress(zeroed[:6] + bytes(4) + zeroed[10:], PLAIN)
+        stream.decompress(zeroed[:6] + b"\0" + zeroed[8:], PLAIN)
 
 
 @pytest.mark.parametrize("mode", MODES)
@@ -239,3 +239,16 @@ def test_lists_on_several_processes():
     assert streams == api.compress_each(data) and api.decompress_each(streams, workers=2) == data
     with pytest.raises(ValueError):
         api.compress_each(data, workers=-1)
+
+
+def test_small_frames():
+    """Eleven bytes beside the payload; eight more for a vocabulary of one's own, which is then needed."""
+    from lexpack.operators.training import merges, vocabulary_of
+
+    v = vocabulary_of(merges({b"abc": 3}, 2))
+    plain, own = (stream.compress(b"abcabcabd", x, mode=stream.RAW) for x in (PLAIN, v))
+    assert len(plain) - len(stream.header(plain)["payload"]) == 11 and len(own) - len(stream.header(own)["payload"]) == 19
+    assert stream.decompress(own, v) == stream.decompress(plain, PLAIN) == b"abcabcabd"
+    for blob, wrong in ((plain, v), (own, PLAIN)):
+        with pytest.raises(ValueError, match="vocabulary"):
+            stream.decompress(blob, wrong)
