@@ -8,7 +8,7 @@ alike on every attempt, and no matrix exists anywhere.
 
 A task permutes its rows locally (they are ordered by a keyed hash, then take the places of a seeded permutation), rows are
 exchanged by block, and each block is permuted again by another keyed hash. A shard is a row of blocks of at most
-``block_rows`` rows, so no task holds a shard; slots go on from block to block.
+``block_rows`` rows, and a task gets a few blocks by number, so no task holds a shard; slots go on from block to block.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from lexpack.session import ship
 
 SHARDS = 8
 BLOCK_ROWS = 16384
+TASK_BLOCKS = 4
 SEED = 4
 
 
@@ -101,7 +102,6 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, keys: list[str] | None = None
     per_shard = even(int(rows.sum()), shards)
     blocks = max(1, -(-int(per_shard.max()) // block_rows))
     columns = np.stack([even(int(n), blocks) for n in per_shard])
-    first_slot = (np.cumsum(columns, axis=1) - columns).ravel()
     shared = spark.sparkContext.broadcast((rows, columns.ravel()))
     schema = T.StructType([*ordered.schema, T.StructField("__block", T.LongType())])
 
@@ -123,15 +123,17 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, keys: list[str] | None = None
             raise RuntimeError(f"partition {i} has fewer rows than counted")
 
     again = F.xxhash64(F.lit(seed + 1), F.col("__key"), *keys)
-    place = F.row_number().over(Window.partitionBy("__block").orderBy(again, "__key"))
-    starts = F.array(*map(F.lit, first_slot.tolist())) if len(first_slot) <= 64 else None
-    dealt = ordered.mapInArrow(deal, schema).withColumn("__place", place - 1)
-    if starts is None:
-        table = spark.createDataFrame([(i, int(x)) for i, x in enumerate(first_slot)], "__block long, __first long")
-        dealt = dealt.join(table, "__block")
-    else:
-        dealt = dealt.withColumn("__first", F.element_at(starts, (F.col("__block") + 1).cast("int")))
-    return dealt.select(*docs.columns, (F.col("__block") / F.lit(blocks)).cast("int").alias("shard"), (F.col("__first") + F.col("__place")).cast("long").alias("slot"))
+    # Blocks are dealt to tasks by number, so a task has at most TASK_BLOCKS of them however many rows there are.
+    total, n_blocks = int(rows.sum()), len(columns.ravel())
+    tasks = max(-(-n_blocks // TASK_BLOCKS), min(n_blocks, spark.sparkContext.defaultParallelism))
+    block = F.col("__block")
+    dealt = ordered.mapInArrow(deal, schema).withColumn("__task", F.expr(f"__block * {tasks} div {n_blocks}").cast("int")).repartitionById(tasks, F.col("__task"))
+    place = F.row_number().over(Window.partitionBy("__task", "__block").orderBy(again, "__key")) - 1
+    # The sizes that ``even`` gives, as arithmetic: where block j of a shard of n rows begins.
+    shard, j = F.floor(block / blocks), F.pmod(block, F.lit(blocks))
+    n = F.lit(total // shards) + (shard < total % shards).cast("long")
+    first = j * F.floor(n / blocks) + F.least(j, F.pmod(n, F.lit(blocks)))
+    return dealt.select(*docs.columns, shard.cast("int").alias("shard"), (first + place).cast("long").alias("slot"))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
