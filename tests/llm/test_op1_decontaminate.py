@@ -100,3 +100,39 @@ def test_long_text_across_pieces(spark):
     r = decontaminate.report(d, b).first()
     assert (r.n_hit, r.n_items, r.n_words) == (10, 1, 200_020)
     assert decontaminate.hits(d, b).first().spans[0].asDict() == {"start": 200_000, "end": 200_010}
+
+
+def test_windows_of_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
+    import numpy as np
+
+    items = [("a", b"1 2 3"), ("b", b"1 2 3 4 5 6 7 8 9 10 11"), ("c", b"4 2 3"), ("a", b"3 2 1 3 2 1"), ("d", b"4 2 3"), ("e", b"")]
+    texts = [b"0 1 2 3 0 4 2 3", None, b"1 2 3 4 5 6 7 8 9 10 11 3 2 1 3 2 1", b"", b"2 3 1"]
+    want = None
+    for constant in (False, True):
+        if constant:
+            real = decontaminate.gram_hashes
+            monkeypatch.setattr(decontaminate, "gram_hashes", lambda *a: np.zeros_like(real(*a)))
+        index, words = decontaminate.build_index(items), decontaminate.Words.of(texts)
+        found = sorted((s, n, tuple(index.items[i] for i in own)) for s, n, own in decontaminate.scan(words, index))
+        assert want is None or found == want
+        want = found
+    assert (1, 3, ("a",)) in want and (5, 3, ("c", "d")) in want and len(want) == 1 + 1 + 1 + 2 + 1
+
+
+def test_index_is_a_few_times_its_text():
+    import pickle
+    import random
+
+    r = random.Random(3)
+    items = [(str(i), " ".join(f"{r.getrandbits(24):x}" for _ in range(80)).encode()) for i in range(4000)]
+    assert len(pickle.dumps(decontaminate.build_index(items))) < 7 * sum(len(t) for _, t in items)
+
+
+def test_hashes_of_words_depend_on_the_word_alone():
+    r = __import__("random").Random(5)
+    texts = [" ".join("".join(r.choice("abé") for _ in range(r.choice((1, 2, 30)))) for _ in range(r.randrange(50))).encode() for _ in range(60)]
+    w = decontaminate.Words.of([*texts, b"x" * (3 << 20), b" ", None])
+    flat = [x for t in texts for x in words(t.decode())]
+    known = dict(zip(flat, w.hashes.tolist()))
+    assert [known[x] for x in flat] == w.hashes[: len(flat)].tolist() and len(set(known.values())) == len(known)
+    assert len(w.hashes) == len(flat) + 1 and w.first.tolist()[-3:] == [len(flat) + 1] * 3
