@@ -8,7 +8,7 @@ alike on every attempt, and no matrix exists anywhere.
 
 A task permutes its rows locally (they are ordered by a keyed hash, then take the places of a seeded permutation), rows are
 exchanged by block, and each block is permuted again by another keyed hash. A shard is a row of blocks of at most
-``block_rows`` rows, and a task gets a few blocks by number, so no task holds a shard; slots go on from block to block.
+``block_rows`` rows, and a task gets one block, so no task holds a shard; slots go on from block to block.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from lexpack.session import ship
 
 SHARDS = 8
 BLOCK_ROWS = 16384
-TASK_BLOCKS = 4
 SEED = 4
 
 
@@ -89,7 +88,8 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, keys: list[str] | None = None
     Shard sizes are at most one apart. ``keys``: columns whose values tell rows apart (all columns that can be hashed by
     default); rows alike in all of them are interchangeable. Copies are rows like any other, nulls too. Empty input gives an
     empty result. The input's partitions must come out alike when recomputed, as those of a file scan do; a task whose row
-    count differs from the counted one fails rather than lose a row. Columns named shard or slot are replaced.
+    count differs from the counted one fails rather than lose a row. The exchange has a task for each block: choose ``block_rows`` by
+    the bytes of a row (16,384 rows of 2 KB are 32 MB) and the number of tasks the cluster can bear. Columns named shard or slot are replaced.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -123,12 +123,11 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, keys: list[str] | None = None
             raise RuntimeError(f"partition {i} has fewer rows than counted")
 
     again = F.xxhash64(F.lit(seed + 1), F.col("__key"), *keys)
-    # Blocks are dealt to tasks by number, so a task has at most TASK_BLOCKS of them however many rows there are.
+    # A block is a task by its number: hashes would bring several together, the more the fewer tasks the session sets.
     total, n_blocks = int(rows.sum()), len(columns.ravel())
-    tasks = max(-(-n_blocks // TASK_BLOCKS), min(n_blocks, spark.sparkContext.defaultParallelism))
     block = F.col("__block")
-    dealt = ordered.mapInArrow(deal, schema).withColumn("__task", F.expr(f"__block * {tasks} div {n_blocks}").cast("int")).repartitionById(tasks, F.col("__task"))
-    place = F.row_number().over(Window.partitionBy("__task", "__block").orderBy(again, "__key")) - 1
+    dealt = ordered.mapInArrow(deal, schema).withColumn("__block", block.cast("int")).repartitionById(max(1, n_blocks), block)
+    place = F.row_number().over(Window.partitionBy("__block").orderBy(again, "__key")) - 1
     # The sizes that ``even`` gives, as arithmetic: where block j of a shard of n rows begins.
     shard, j = F.floor(block / blocks), F.pmod(block, F.lit(blocks))
     n = F.lit(total // shards) + (shard < total % shards).cast("long")
