@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import lzma
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +133,12 @@ BASELINES = {
     "lzma": lambda b: __import__("lzma").compress(b, preset=9),
     "zstd": lambda b: __import__("zstandard").ZstdCompressor(level=19).compress(b),
 }
+# Compressors that not every installation has take part where they can be imported.
+OPTIONAL = {
+    "brotli": ("brotli", lambda b: __import__("brotli").compress(b, quality=11)),
+    "lz4": ("lz4", lambda b: importlib.import_module("lz4.frame").compress(b)),
+}
+BASELINES |= {k: f for k, (module, f) in OPTIONAL.items() if importlib.util.find_spec(module)}
 
 
 def _gzip(b: bytes) -> bytes:
@@ -148,6 +157,18 @@ def baseline(name: str):
     return run
 
 
+def ids_lzma(vocabulary: Vocabulary | None = None):
+    """The size of each record as token ids of three bytes each under lzma: tokens without an entropy coder of their own."""
+
+    @F.pandas_udf("long")
+    def run(data: pd.Series) -> pd.Series:
+        v = vocabulary or _plain()
+        ids = _each(lambda b: np.asarray(v.encode(b), ">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes())(data)
+        return ids.map(lambda b: None if b is None else len(lzma.compress(b, preset=9 | lzma.PRESET_EXTREME)))
+
+    return run
+
+
 def compare(records: DataFrame, keys: list[str], data: str, vocabulary: Vocabulary | None = None, dictionary=None, backends=(*BASELINES, "lexpack")) -> DataFrame:
     """(keys, backend, n, bytes_in, bytes_out, ratio) of compressing every record on its own."""
     own = compress(vocabulary, dictionary)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexpack.functions import stream
 from lexpack.functions.vocabulary import Vocabulary
 from lexpack.operators import codec, containers, dictionary
 from lexpack.session import ship
@@ -120,6 +121,43 @@ def pickers(rows: DataFrame, corpus: str, seeds: Iterable[int] = (1,), vocabular
     return reduce(DataFrame.unionByName, out)
 
 
+def direct(rows: DataFrame, corpus: str, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Every record with its tokens coded directly, and with the same tokens as fixed-width ids under lzma."""
+    return _long(_sized(rows), corpus, "direct", 0, {"lexpack": _own(vocabulary=vocabulary), "ids+lzma": codec.ids_lzma(vocabulary)("data")})
+
+
+def winners(results: DataFrame, first: str = "lexpack", second: str = "ids+lzma") -> DataFrame:
+    """(corpus, regime, split, first, second, delta, winner): two backends' ratios beside each other; ``tie`` where they are equal."""
+    ratio = lambda b: F.sum(F.when(F.col("backend") == b, F.col("bytes_out"))) / F.sum(F.when(F.col("backend") == b, F.col("bytes_in")))
+    both = results.groupBy("corpus", "regime", "split").agg(ratio(first).alias("first"), ratio(second).alias("second")).withColumn("delta", F.col("first") - F.col("second"))
+    return both.withColumn("winner", F.when(F.col("delta") < 0, F.lit(first)).when(F.col("delta") > 0, F.lit(second)).when(F.col("delta") == 0, F.lit("tie")))
+
+
+def attribution(rows: DataFrame, corpus: str, seed: int = 1, vocabulary: Vocabulary | None = None, most_bytes: int = containers.MOST_BYTES, **how) -> DataFrame:
+    """Held-out records (id, data) step by step from streams of their own to batches, so that neighbouring steps show what each part of a batch gains.
+
+    ``record`` and ``record+dictionary``: a stream a record; ``record, dictionary layout``: that layout alone, so its tables are the
+    trained ones; ``batch, dictionary layout``: the same tables over a batch, which adds matches across records and saves frames;
+    ``batch+dictionary``: the smallest layout, which adds tables that adapt to the batch; ``batch``: that without a dictionary.
+    ``batch header``: what a batch's counts and lengths take, included in the three before.
+    """
+    train, held = side(rows, seed)
+    d = dictionary.train(train, vocabulary=vocabulary, **how)
+    forced = {"dictionary": d, "mode": stream.DICTIONARY}
+    each = {"record": _own(vocabulary=vocabulary), "record+dictionary": _own(vocabulary=vocabulary, dictionary=d), "record, dictionary layout": _own(vocabulary=vocabulary, **forced)}
+    packed = containers.pack(held.withColumn("g", F.lit(0)), ["g"], "data", "id", vocabulary=vocabulary, dictionary=d, most_bytes=most_bytes)
+    runs = packed.select("n_records", F.col("n_bytes").alias("n_in"), F.octet_length("blob").alias("whole"), _joined(vocabulary, d)("blob").alias("data"))
+    # A batch is its header and one stream over the joined records.
+    runs = runs.withColumn("head", F.col("whole") - _own(vocabulary=vocabulary, dictionary=d))
+    many = {"batch": F.col("head") + _own(vocabulary=vocabulary), "batch, dictionary layout": F.col("head") + _own(vocabulary=vocabulary, **forced), "batch+dictionary": F.col("whole"), "batch header": F.col("head")}
+    return _long(_sized(held), corpus, "attribution", seed, each).unionByName(_long(runs, corpus, "attribution", seed, many))
+
+
+def schemas(named: dict[str, DataFrame], seeds: Iterable[int] = (1,), vocabulary: Vocabulary | None = None, **how) -> DataFrame:
+    """The dictionary regime on records of several schemas, each with a dictionary of its own training side."""
+    return reduce(DataFrame.unionByName, (trained(rows, corpus, seeds, vocabulary, regime="schemas", **how) for corpus, rows in named.items()))
+
+
 def vocabularies(rows: DataFrame, corpus: str, named: dict[str, Vocabulary]) -> DataFrame:
     """Every record under several vocabularies."""
     return _long(_sized(rows), corpus, "vocabularies", 0, {k: _own(vocabulary=v) for k, v in named.items()})

@@ -1,5 +1,6 @@
 """Tokens, profiles, tables, training and codec columns on small tables."""
 
+import lzma
 import math
 from collections import Counter
 
@@ -230,6 +231,36 @@ def test_regimes(spark, rows):
     assert out.columns == list(regimes.COLUMNS)
 
 
+def test_direct_coding_beside_ids_under_lzma(spark, rows):
+    v = training.train(rows, 300, sample_bytes=None)
+    out = regimes.direct(rows, "logs", v)
+    found = {r.backend: r for r in out.collect()}
+    ids = [lzma.compress(b"".join(i.to_bytes(3, "big") for i in v.encode(r.encode())), preset=9 | lzma.PRESET_EXTREME) for r in RECORDS]
+    assert found["ids+lzma"].bytes_out == sum(map(len, ids)) and found["lexpack"].bytes_out == sum(len(stream.compress(r.encode(), v)) for r in RECORDS)
+    won = regimes.winners(out).first()
+    assert won.winner == min(found, key=lambda b: found[b].bytes_out) and math.isclose(won.delta, won.first - won.second)
+    assert regimes.winners(out, "lexpack", "lexpack").first().winner == "tie" and regimes.winners(out, "lexpack", "none").first().winner is None
+    odd = spark.createDataFrame([(None,), (b"",)], "data binary").select(codec.ids_lzma()("data").alias("n")).collect()
+    assert odd[0].n is None and odd[1].n == len(lzma.compress(b"", preset=9 | lzma.PRESET_EXTREME))
+
+
+def test_attribution_of_a_batch(spark, rows):
+    found = {r.backend: r for r in regimes.attribution(rows, "logs", max_priming=512).collect()}
+    held = [bytes(r.data) for r in regimes.side(rows, 1)[1].orderBy("id").collect()]
+    assert len(found) == 7 and all((r.n, r.bytes_in) == (len(held), sum(map(len, held))) for r in found.values())
+    out = {k: r.bytes_out for k, r in found.items()}
+    assert out["record"] == sum(len(stream.compress(r, Vocabulary())) for r in held)
+    assert out["record+dictionary"] <= min(out["record"], out["record, dictionary layout"])
+    assert out["batch+dictionary"] <= min(out["batch"], out["batch, dictionary layout"]) < out["record"]
+    assert 0 < out["batch header"] < out["batch+dictionary"]
+
+
+def test_schemas(spark, rows):
+    other = spark.createDataFrame([(i, f"name={i % 7};size={i}".encode()) for i in range(80)], "id long, data binary")
+    found = regimes.schemas({"logs": rows, "fields": other}, max_priming=256).collect()
+    assert {r.corpus for r in found} == {"logs", "fields"} and {r.regime for r in found} == {"schemas"} and len(found) == 8
+
+
 def test_benchmark_and_stats():
     r = api.benchmark("\n".join(RECORDS))
     assert r["lossless"] and 0 < r["ratio"] < 1
