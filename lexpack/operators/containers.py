@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from lexpack.functions import container
 from lexpack.functions.vocabulary import Vocabulary, _plain
-from lexpack.operators.codec import compress
+from lexpack.operators import jvm
+from lexpack.operators.codec import _is_plain, compress
 from lexpack.session import ship
 
 MOST_BYTES = 1 << 20
@@ -37,7 +38,11 @@ def pack(df: DataFrame, keys: list[str], data: str, order: str, kind: str = "bat
     names = [*keys, "__o", "__d"]
     rows = df.where(F.col(data).isNotNull()).select(*keys, F.col(order).alias("__o"), F.col(data).cast("binary").alias("__d"))
     dealt = rows.repartitionByRange(*[partitions] * bool(partitions), *keys, "__o").sortWithinPartitions(*keys, "__o")
-    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, t or rows.schema["__o"].dataType) for n, t in PACKED)])
+    # The JVM codes what tasks gather here: a batch's head and its records end to end, or an index's records.
+    index = jvm.function("Index", "binary") if _is_plain(vocabulary, dictionary) else None
+    kinds = [("first", rows.schema["__o"].dataType), *PACKED[1:3], *([("__head", T.BinaryType()), ("__r", T.ArrayType(T.BinaryType()))] if index else PACKED[3:])]
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, t) for n, t in kinds)])
+    gathered = index is not None
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,8 +51,11 @@ def pack(df: DataFrame, keys: list[str], data: str, order: str, kind: str = "bat
         at, first, held, size = None, None, [], 0
 
         def closed():
-            blob = container.pack(held, v, dictionary, integrity, fast) if kind == "batch" else _index(held, v, dictionary, integrity)
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*at, first, len(held), size, blob), strict=True))], types)
+            if gathered:
+                last = (container.batch_head(held), [b"".join(held)]) if kind == "batch" else (None, held)
+            else:
+                last = (container.pack(held, v, dictionary, integrity, fast) if kind == "batch" else _index(held, v, dictionary, integrity),)
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*at, first, len(held), size, *last), strict=True))], types)
 
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
@@ -62,7 +70,11 @@ def pack(df: DataFrame, keys: list[str], data: str, order: str, kind: str = "bat
         if held:
             yield closed()
 
-    return dealt.mapInArrow(run, schema)
+    packed = dealt.mapInArrow(run, schema)
+    if not gathered:
+        return packed
+    blob = F.concat("__head", compress(vocabulary, None, integrity, fast)(F.col("__r")[0])) if kind == "batch" else index(F.col("__r"), F.lit(integrity))
+    return packed.select(*keys, "first", "n_records", "n_bytes", blob.alias("blob"))
 
 
 def _index(records, vocabulary, dictionary, integrity) -> bytes:
@@ -75,6 +87,9 @@ def unpack(df: DataFrame, blob: str, keep: list[str] | None = None, vocabulary:
     """(keep, ordinal, data): the records of each row's batch, index or stream. A null container has none; a bad one fails."""
     ship(df.sparkSession)
     keep = [c for c in df.columns if c != blob] if keep is None else keep
+    if _is_plain(vocabulary, dictionary) and (records := jvm.function("Unpack", "array<binary>")):
+        each = df.select(*keep, F.posexplode(records(F.col(blob), F.lit(_plain().fingerprint.hex()))).alias("ordinal", "data"))
+        return each.withColumn("ordinal", F.col("ordinal").cast("long"))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("ordinal", T.LongType()), T.StructField("data", T.BinaryType())])
 
     def run(batches):
@@ -107,7 +122,7 @@ def read(i: int, vocabulary: Vocabulary | None = None, dictionary=None):
         v = vocabulary or _plain()
         return blob.map(lambda b: None if b is None else container.read(bytes(b), i, v, dictionary))
 
-    return run
+    return jvm.either(run, "Read", "binary", i, _plain().fingerprint.hex()) if _is_plain(vocabulary, dictionary) else run
 
 
 def index_table(df: DataFrame, keys: list[str], order: str, data: Column, **how) -> DataFrame:

@@ -1,0 +1,93 @@
+"""The codec on the JVM: the streams, events and reports of the one in Python, and no rows sent to Python workers."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexpack.functions import container, lz, stream
+from lexpack.functions.vocabulary import Vocabulary
+from lexpack.operators import codec, containers, jvm
+from lexpack.plans import queries
+from lexpack.session import ship
+
+PLAIN = Vocabulary()
+MODES = [None, "fast", *(m for m in range(9) if m not in (stream.EMPTY, stream.DICTIONARY))]
+
+
+def options(mode):
+    return {"fast": True} if mode == "fast" else {"mode": mode}
+
+
+@pytest.fixture(scope="module")
+def records():
+    r = random.Random(1)
+    made = [bytes(r.randrange(k) for _ in range(n)) for k in (1, 2, 7, 200, 256) for n in (1, 2, 3, 5, 30, 513, 3000)]
+    return [b"", b"abab" * 200, bytes(3000), bytes(range(256)) * 3, b"".join(b"%d|user|%d;" % (i, i * 7919 % 97) for i in range(3000)), *made]
+
+
+@pytest.fixture(scope="module")
+def frame(spark, records):
+    ship(spark)
+    return spark.createDataFrame([*enumerate(records), (-1, None)], "id int, data binary")
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_streams_are_those_of_python(frame, records, mode):
+    blob = codec.compress(**options(mode))("data")
+    rows = frame.select("id", blob.alias("b")).select("id", "b", codec.decompress()("b").alias("x"), codec.parse_header()("b").alias("h"))
+    assert "EvalPython" not in rows._jdf.queryExecution().toString()
+    for r in rows.collect():
+        if r.id < 0:
+            assert r.b is None and r.x is None and r.h.error
+            continue
+        assert r.b == stream.compress(records[r.id], PLAIN, **options(mode)) and r.x == records[r.id]
+        assert r.h.mode == stream.NAMES[stream.header(bytes(r.b))["mode"]] and r.h.size == len(records[r.id])
+
+
+def test_damage_is_found_as_in_python(spark, records):
+    r, bad = random.Random(2), []
+    for x in records:
+        for mode in MODES if len(x) < 1000 else MODES[:2]:
+            blob = bytearray(stream.compress(x, PLAIN, integrity=r.random() < 0.5, **options(mode)))
+            if r.random() < 0.7:
+                blob[r.randrange(6, len(blob))] ^= 1 << r.randrange(8)
+            else:
+                blob = blob[: r.randrange(len(blob))]
+            bad.append(bytes(blob))
+    found = spark.createDataFrame(list(enumerate(bad)), "id int, b binary").select("id", codec.try_decompress()("b").alias("x")).collect()
+    for row in found:
+        try:
+            want = stream.decompress(bad[row.id], PLAIN)
+        except (ValueError, OverflowError):
+            want = None
+        assert row.x.data == want and (row.x.error is None) == (want is not None)
+
+
+def test_events_are_those_of_python(frame, records):
+    rows = frame.where("id >= 0").select("id", codec.lz_events()("data").alias("e")).select("id", "e", codec.lz_replay()("e").alias("x"))
+    assert "EvalPython" not in rows._jdf.queryExecution().toString()
+    for r in rows.collect():
+        assert r.x == records[r.id] and [(1, e.distance, e.length) if e.role else (0, e.token, 0) for e in r.e] == lz.parse(list(records[r.id]))
+
+
+def test_containers_are_those_of_python(spark, frame, records, monkeypatch):
+    def packed(kind, fast):
+        rows = containers.pack(frame.withColumn("k", F.col("id") % 3), ["k"], "data", "id", kind=kind, fast=fast, partitions=2)
+        return {(r.k, r.first): (r.n_records, r.n_bytes, bytes(r.blob)) for r in rows.collect()}, rows
+
+    for kind, fast in (("batch", True), ("batch", False), ("index", False)):
+        own, rows = packed(kind, fast)
+        for n, _, blob in own.values():
+            each = list(container.unpack(blob, PLAIN))
+            assert len(each) == n and (container.pack(each, PLAIN, fast=fast) if kind == "batch" else container.indexed([stream.compress(x, PLAIN) for x in each])) == blob
+        assert sorted(bytes(r.data) for r in containers.unpack(rows, "blob").collect()) == sorted(records)
+    with pytest.raises(Exception, match="record 99 of"):
+        rows.select(containers.read(99)("blob")).collect()
+    monkeypatch.setattr(jvm, "_factory", lambda sc: None)
+    assert packed("index", False)[0] == own
+
+
+@pytest.mark.parametrize("name", ["event_lengths", "roundtrip_events", "stream_headers", "damaged_streams", "roundtrip_smallest", "roundtrip_fast", "roundtrip_raw", "roundtrip_context_split"])
+def test_queries_without_python_workers(spark, sf_dir, name):
+    assert "EvalPython" not in queries.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
