@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexpack.operators import jvm
+
 
 def exploded(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     """(keys, pos, token)."""
@@ -24,6 +26,12 @@ def bigrams(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     return pairs.select(*keys, F.col("p")["a"].alias("a"), F.col("p")["b"].alias("b")).groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def byte_pairs(df: DataFrame, keys: list[str], data: str) -> DataFrame | None:
+    """(keys, a, b, n): neighbouring bytes of each record, counted in it; its first byte's a is -1. None where the JVM can't."""
+    found = jvm.function("Pairs", "array<struct<a:int,b:int,n:bigint>>")
+    return found and df.select(*keys, F.explode(found(data)).alias("p")).select(*keys, "p.*")
+
+
 def profile(df: DataFrame, keys: list[str], tokens: Column, n_bytes: Column, digits: int = 6) -> DataFrame:
     """For each key: bytes, tokens, distinct tokens, order-0 entropy, order-1 conditional entropy, their difference, and rates.
 

@@ -68,6 +68,11 @@ def code_length(events: DataFrame, tables: DataFrame, keys: list[str], by: list[
     events: (by, keys, symbol) a row a symbol, counted before the join, so the join sees distinct symbols only. A null key is a key.
     """
     counted = events.groupBy(*by, *(k for k in keys if k not in by), symbol).agg(F.count(F.lit(1)).alias("_n"))
+    return counted_length(counted, tables, keys, by, symbol, escape_bits)
+
+
+def counted_length(counted: DataFrame, tables: DataFrame, keys: list[str], by: list[str], symbol: str, escape_bits: float = 0.0) -> DataFrame:
+    """As ``code_length``, of symbols with their numbers ``_n`` in a record."""
     bits = F.coalesce(LOG - F.log2("freq"), F.lit(escape_bits))
     own = tables.select(*(F.col(k).alias(f"_t{i}") for i, k in enumerate([*keys, symbol])), "freq")
     same = [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate([*keys, symbol])]

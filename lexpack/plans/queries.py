@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexpack.functions import stream
 from lexpack.functions.ans import Table
 from lexpack.functions.vocabulary import Vocabulary
-from lexpack.operators import codec, containers, dictionary, profile, tables, tokens, training
+from lexpack.operators import codec, containers, dictionary, jvm, profile, tables, tokens, training
 from lexpack.session import cut, shared_dir, ship, spread
 from lexpack.sources import container as source
 from lexpack.sources import files
@@ -50,6 +50,22 @@ def bytes_column(rows: DataFrame) -> Column:
     return tokens.byte_ids(rows["data"])
 
 
+def byte_histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, token, n) of the bytes, counted in each record first."""
+    each = profile.byte_pairs(rows, keys, "data")
+    if each is None:
+        return profile.histogram(rows, keys, bytes_column(rows))
+    return each.groupBy(*keys, F.col("b").alias("token")).agg(F.sum("n").alias("n"))
+
+
+def byte_bigrams(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b, n) of neighbouring bytes, counted in each record first."""
+    each = profile.byte_pairs(rows, keys, "data")
+    if each is None:
+        return profile.bigrams(rows, keys, bytes_column(rows))
+    return each.where("a >= 0").groupBy(*keys, "a", "b").agg(F.sum("n").alias("n"))
+
+
 # Tokens and profiles.
 
 
@@ -104,7 +120,7 @@ def symbol_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _byte_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
-    counts = profile.histogram(rows, ["source"], bytes_column(rows)).withColumnRenamed("token", "symbol")
+    counts = byte_histogram(rows, ["source"]).withColumnRenamed("token", "symbol")
     return tables.normalised(counts, ["source"], "symbol", "n")
 
 
@@ -140,8 +156,12 @@ def raw_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ideal bits of each document under its source's table."""
     rows = records(spark, sf_dir)
-    own = rows.select("id", "source", F.explode(bytes_column(rows)).alias("symbol"))
-    cost = tables.code_length(own, _byte_table(spark, sf_dir), ["source"], ["id"], "symbol")
+    found = cut(_byte_table(spark, sf_dir))
+    each = profile.byte_pairs(rows, ["id", "source"], "data")
+    if each is None:
+        cost = tables.code_length(rows.select("id", "source", F.explode(bytes_column(rows)).alias("symbol")), found, ["source"], ["id"], "symbol")
+    else:
+        cost = tables.counted_length(each.withColumnsRenamed({"b": "symbol", "n": "_n"}), found, ["source"], ["id"], "symbol")
     return cost.select("id", F.round("bits", 4).alias("bits"))
 
 
@@ -155,7 +175,7 @@ def chunk_history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next-byte frequencies, scaled to 65,536, after each of the 64 bytes with the most transitions."""
     rows = records(spark, sf_dir)
-    pairs = tables.contexts(profile.bigrams(rows, [], bytes_column(rows)))
+    pairs = tables.contexts(cut(byte_bigrams(rows, [])))
     with_escape = pairs.select("a", "b", "n").unionByName(pairs.groupBy("a").agg(F.lit(257).alias("b"), F.first("escape").alias("n")))
     return tables.normalised(with_escape, ["a"], "b", "n").select(F.col("a").alias("context"), F.col("b").alias("symbol"), "n", "freq")
 
@@ -179,6 +199,9 @@ def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By document: places whose two bytes occurred before, within 32,768 places, and the sum of distances to the latest of those."""
     rows = records(spark, sf_dir)
+    if back := jvm.function("Back", "n bigint, distance bigint"):
+        own = rows.select("id", back("data", F.lit(32768)).alias("x")).where("x.n > 0")
+        return own.groupBy("id").agg(F.sum("x.n").alias("n"), F.sum("x.distance").alias("distance"))
     each = profile.exploded(rows, ["id"], bytes_column(rows))
     w = Window.partitionBy("id").orderBy("pos")
     pairs = each.withColumn("b", F.lead("token").over(w)).where("b is not null")
@@ -189,15 +212,19 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cascade_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits of each document under tables by previous byte where it has one of the 64 best contexts, else under the common table."""
     rows = records(spark, sf_dir)
-    each = profile.exploded(rows, ["id"], bytes_column(rows)).withColumnRenamed("token", "symbol")
-    each = each.withColumn("context", F.coalesce(F.lag("symbol").over(Window.partitionBy("id").orderBy("pos")), F.lit(-1)))
-    counted = each.groupBy("id", "context", "symbol").agg(F.count(F.lit(1)).alias("k"))
+    each = profile.byte_pairs(rows, ["id"], "data")
+    if each is None:
+        each = profile.exploded(rows, ["id"], bytes_column(rows)).withColumnRenamed("token", "symbol")
+        each = each.withColumn("context", F.coalesce(F.lag("symbol").over(Window.partitionBy("id").orderBy("pos")), F.lit(-1)))
+        counted = each.groupBy("id", "context", "symbol").agg(F.count(F.lit(1)).alias("k"))
+    else:
+        counted = each.select("id", F.col("a").alias("context"), F.col("b").alias("symbol"), F.col("n").alias("k"))
     found = cut(context_tables(spark, sf_dir))
     order1 = found.where("symbol < 257").select(F.col("context").alias("c"), F.col("symbol").alias("s"), F.col("freq").alias("f1"))
     escape = found.where("symbol = 257").select(F.col("context").alias("c"), F.col("freq").alias("fe"))
     one = counted.groupBy("symbol").agg(F.sum("k").alias("n")).withColumn("t", F.lit(0))
-    order0 = tables.normalised(one, ["t"], "symbol", "n").select(F.col("symbol").alias("s"), F.col("freq").alias("f0"))
-    joined = counted.join(order1, (F.col("context") == F.col("c")) & (F.col("symbol") == F.col("s")), "left").drop("c", "s")
+    order0 = cut(tables.normalised(one, ["t"], "symbol", "n").select(F.col("symbol").alias("s"), F.col("freq").alias("f0")))
+    joined = counted.join(F.broadcast(order1), (F.col("context") == F.col("c")) & (F.col("symbol") == F.col("s")), "left").drop("c", "s")
     joined = joined.join(F.broadcast(escape), F.col("context") == F.col("c"), "left").drop("c").join(F.broadcast(order0), F.col("symbol") == F.col("s"))
     bits = F.coalesce(16 - F.log2("f1"), F.coalesce(16 - F.log2("fe"), F.lit(0.0)) + 16 - F.log2("f0"))
     return joined.groupBy("id").agg(F.round(F.sum(F.col("k") * bits), 3).alias("bits"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexpack.functions import container, lz, stream
 from lexpack.functions.vocabulary import Vocabulary
-from lexpack.operators import codec, containers, jvm
+from lexpack.operators import codec, containers, jvm, tokens
 from lexpack.plans import queries
 from lexpack.session import ship
 
@@ -91,3 +91,24 @@ def test_containers_are_those_of_python(spark, frame, records, monkeypatch):
 @pytest.mark.parametrize("name", ["event_lengths", "roundtrip_events", "stream_headers", "damaged_streams", "roundtrip_smallest", "roundtrip_fast", "roundtrip_raw", "roundtrip_context_split"])
 def test_queries_without_python_workers(spark, sf_dir, name):
     assert "EvalPython" not in queries.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_pieces_are_those_of_the_pattern(spark):
+    texts = ["", " ", "a b  c1 2  3,x\n\ty z", "é́ näive 你好 ٣½ Ⅷ x", "\U0001f600\U0001f600 \U00010400b \U0001d7d9 ", "a‍b _-_ 'tis", None]
+    texts += ["".join(map(chr, range(k, k + 512))) for k in range(0, 0xD800, 512)] + ["".join(map(chr, range(k, k + 512))) for k in range(0x10000, 0x1F000, 512)]
+    own = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    pattern = F.regexp_extract_all("t", F.lit("(?U)" + tokens.PATTERN), F.lit(0))
+    assert own.where(~tokens.pieces(F.col("t")).eqNullSafe(pattern)).count() == 0
+    assert "regexp_extract_all" not in own.select(tokens.pieces(F.col("t")))._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["match_candidates", "cascade_cost", "sparse_code_length"])
+def test_bytes_are_counted_in_their_record(spark, sf_dir, monkeypatch, name):
+    """No row a byte goes through a sort or an exchange; the rows are those of the way without the JVM."""
+    made = queries.queries()[name](spark, sf_dir)
+    plan = made._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "lag(" not in plan and "ISO-8859-1" not in plan
+    own = {r[0]: tuple(r)[1:] for r in made.collect()}
+    monkeypatch.setattr(jvm, "_factory", lambda sc: None)
+    slow = {r[0]: tuple(r)[1:] for r in queries.queries()[name](spark, sf_dir).collect()}
+    assert own.keys() == slow.keys() and all(own[k] == pytest.approx(slow[k], abs=2e-3) for k in own)
