@@ -7,8 +7,10 @@ container at a time.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,8 +59,52 @@ def pack(df: DataFrame, keys: list[str], data: str, order: str, kind: str = "bat
                 last = (container.pack(held, v, dictionary, integrity, fast) if kind == "batch" else _index(held, v, dictionary, integrity),)
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*at, first, len(held), size, *last), strict=True))], types)
 
+        parts, sizes = [], []
+
+        def batch_of():
+            lengths = np.concatenate(sizes)
+            row = (*at, first, len(lengths), int(lengths.sum()), container.batch_head_of(lengths), [b"".join(parts)])
+            parts.clear()
+            sizes.clear()
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], types)
+
+        def spans(columns):
+            """Whole runs of rows at once: up to a change of key, or what fills a container."""
+            nonlocal at, first
+            *own, order, data = columns
+            n = len(data)
+            ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+            text = memoryview(data.buffers()[2] or b"")
+            new = np.zeros(n, bool)
+            for c in own:
+                a, b = c.slice(0, max(0, n - 1)), c.slice(1)
+                differ = pc.if_else(pc.and_(a.is_valid(), b.is_valid()), pc.not_equal(a, b), pc.xor(a.is_valid(), b.is_valid()))
+                new[1:] |= np.asarray(differ.to_numpy(zero_copy_only=False), bool)
+            stops, i = [*np.flatnonzero(new).tolist(), n], 0
+            for stop in stops:
+                while i < stop:
+                    held_bytes = sum(int(x.sum()) for x in sizes)
+                    if sizes and [c[i].as_py() for c in own] != at:
+                        yield batch_of()
+                        held_bytes = 0
+                    k = int(np.searchsorted(ends, ends[i] + most_bytes - held_bytes, "right")) - 1
+                    k = min(stop, k)
+                    if k <= i:
+                        if sizes:
+                            yield batch_of()
+                            continue
+                        k = i + 1
+                    if not sizes:
+                        at, first = [c[i].as_py() for c in own], order[i].as_py()
+                    parts.append(bytes(text[ends[i] : ends[k]]))
+                    sizes.append(np.diff(ends[i : k + 1]))
+                    i = k
+
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            if gathered and kind == "batch":
+                yield from spans(columns)
+                continue
             for *key, o, d in zip(*(c.to_pylist() for c in columns), strict=True):
                 if held and (key != at or size + len(d) > most_bytes):
                     yield closed()
@@ -69,6 +115,8 @@ def pack(df: DataFrame, keys: list[str], data: str, order: str, kind: str = "bat
                 size += len(d)
         if held:
             yield closed()
+        if sizes:
+            yield batch_of()
 
     packed = dealt.mapInArrow(run, schema)
     if not gathered:
