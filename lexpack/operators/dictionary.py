@@ -28,6 +28,8 @@ PRIMING = 4096
 CONTEXTS = 64
 SEGMENT, DMER, DISCOUNT = 256, 8, 0.3
 POOL, MOST_POOL = 1_000, 64_000
+#: Hashes of texts whose texts are counted.
+AHEAD = 100_000
 PICKERS = ("concat", "coverage", "diverse", "cover")
 
 
@@ -108,6 +110,23 @@ def dmers(rows: DataFrame, keep: list[str], ids: str = "tokens", d: int = DMER)
     return rows.select(*keep, ids, F.explode(at).alias("pos")).select(*keep, (F.col("pos") - 1).alias("pos"), F.slice(ids, F.col("pos"), d).alias("dmer"))
 
 
+def most_frequent(each: DataFrame, text: str, k: int, ahead: int = AHEAD) -> DataFrame:
+    """(text, n): the k most frequent texts, lower ones first among equals.
+
+    Hashes are counted first, and texts only where their hash is among the ``ahead`` most frequent: a text is no more frequent than its hash. Where
+    a text beyond those could be among the k (many are equal, say), all texts are counted.
+    """
+    hashed = each.groupBy(F.xxhash64(text).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    heavy = cut(hashed.orderBy(F.col("n").desc()).limit(ahead))
+    seen = heavy.agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).first()
+    count = lambda df: df.groupBy(text).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), text).limit(k)
+    if seen.rows < ahead:
+        return count(each)
+    found = cut(count(each.join(F.broadcast(heavy.select("h")), F.xxhash64(text) == F.col("h"), "left_semi")))
+    own = found.agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).first()
+    return found if own.rows == k and own.least > seen.least else count(each)
+
+
 def segments(rows: DataFrame, keep: list[str], ids: str = "tokens", length: int = SEGMENT) -> DataFrame:
     """(keep, start, tokens): half-overlapping windows; the last is clipped, and the first that touches the end is the last."""
     step = max(1, length // 2)

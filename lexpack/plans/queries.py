@@ -258,9 +258,8 @@ def coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dmer_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 500 most frequent runs of eight pieces."""
-    each = dictionary.dmers(_pieces(spark, sf_dir), [])
-    counted = each.groupBy(F.array_join("dmer", "").alias("dmer")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.orderBy(F.col("n").desc(), "dmer").limit(500)
+    each = dictionary.dmers(_pieces(spark, sf_dir), []).select(F.array_join("dmer", "").alias("dmer"))
+    return dictionary.most_frequent(each, "dmer", 500)
 
 
 def segment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexpack.functions import container, lz, stream
 from lexpack.functions.vocabulary import Vocabulary
-from lexpack.operators import codec, containers, jvm, tokens
+from lexpack.operators import codec, containers, dictionary, jvm, tokens
 from lexpack.plans import queries
 from lexpack.session import ship
 
@@ -112,3 +112,23 @@ def test_bytes_are_counted_in_their_record(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(jvm, "_factory", lambda sc: None)
     slow = {r[0]: tuple(r)[1:] for r in queries.queries()[name](spark, sf_dir).collect()}
     assert own.keys() == slow.keys() and all(own[k] == pytest.approx(slow[k], abs=2e-3) for k in own)
+
+
+@pytest.mark.parametrize("most", [1, 900, 1 << 20])
+def test_batches_are_cut_by_whole_runs(spark, most):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), i, bytes(r.randrange(256) for _ in range(r.choice([0, 1, 5, 140, 950])))) for i in range(3000)]
+    packed = containers.pack(spark.createDataFrame(rows, "k string, i int, data binary"), ["k"], "data", "i", fast=True, most_bytes=most, partitions=3).collect()
+    found = {(x.k, x.first): (x.n_records, x.n_bytes, list(container.unpack(bytes(x.blob), PLAIN))) for x in packed}
+    assert all(len(each) == n and sum(map(len, each)) == size and (size <= most or n == 1) for n, size, each in found.values())
+    for key in ("a", "b", None):
+        assert [d for k, _, d in rows if k == key] == [d for _, x in sorted((k[1], v) for k, v in found.items() if k[0] == key) for d in x[2]]
+
+
+@pytest.mark.parametrize("ahead", [4, 6, 50])
+def test_most_frequent_counts_hashes_first(spark, ahead):
+    texts = [f"t{i}" for i in range(12) for _ in range(40 - 3 * min(i, 6))]
+    each = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = sorted(((t, texts.count(t)) for t in set(texts)), key=lambda x: (-x[1], x[0]))
+    for k in (3, 5, 8, 20):
+        assert [tuple(r) for r in dictionary.most_frequent(each, "t", k, ahead).collect()] == want[:k]
