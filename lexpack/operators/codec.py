@@ -138,7 +138,7 @@ def unknown(streams: DataFrame, registry: DataFrame, blob: str = "blob") -> Data
 BASELINES = {
     "gzip": lambda b: _gzip(b),
     "bz2": lambda b: __import__("bz2").compress(b, 9),
-    "lzma": lambda b: __import__("lzma").compress(b, preset=9),
+    "lzma": lambda b: _lzma(b),
     "zstd": lambda b: __import__("zstandard").ZstdCompressor(level=19).compress(b),
 }
 # Compressors that not every installation has take part where they can be imported.
@@ -149,6 +149,12 @@ OPTIONAL = {
 BASELINES |= {k: f for k, (module, f) in OPTIONAL.items() if importlib.util.find_spec(module)}
 
 
+def _lzma(b: bytes, preset: int = 9) -> bytes:
+    """xz by the preset, with no more dictionary than the record has bytes: the preset's 64 MB take longer to set up than to use."""
+    most = min(64 << 20, max(4096, 1 << (len(b) - 1).bit_length())) if b else 4096
+    return lzma.compress(b, format=lzma.FORMAT_XZ, filters=[{"id": lzma.FILTER_LZMA2, "preset": preset, "dict_size": most}])
+
+
 def _gzip(b: bytes) -> bytes:
     c = zlib.compressobj(9, zlib.DEFLATED, 31)
     return c.compress(b) + c.flush()
@@ -172,7 +178,7 @@ def ids_lzma(vocabulary: Vocabulary | None = None):
     def run(data: pd.Series) -> pd.Series:
         v = vocabulary or _plain()
         ids = _each(lambda b: np.asarray(v.encode(b), ">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes())(data)
-        return ids.map(lambda b: None if b is None else len(lzma.compress(b, preset=9 | lzma.PRESET_EXTREME)))
+        return ids.map(lambda b: None if b is None else len(_lzma(b, 9 | lzma.PRESET_EXTREME)))
 
     return run
 

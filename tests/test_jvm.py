@@ -1,5 +1,6 @@
 """The codec on the JVM: the streams, events and reports of the one in Python, and no rows sent to Python workers."""
 
+import lzma
 import random
 
 import pytest
@@ -132,3 +133,12 @@ def test_most_frequent_counts_hashes_first(spark, ahead):
     want = sorted(((t, texts.count(t)) for t in set(texts)), key=lambda x: (-x[1], x[0]))
     for k in (3, 5, 8, 20):
         assert [tuple(r) for r in dictionary.most_frequent(each, "t", k, ahead).collect()] == want[:k]
+
+
+def test_lzma_sets_up_no_more_than_a_record_needs(records, monkeypatch):
+    """The sizes are those of the preset, whose own dictionary is never asked for."""
+    made, real = [], lzma.compress
+    want = [len(real(b, preset=9)) for b in records[:8]]
+    monkeypatch.setattr(codec.lzma, "compress", lambda b, **how: made.append(how) or real(b, **how))
+    assert [len(codec.BASELINES["lzma"](b)) for b in records[:8]] == want
+    assert all(how["filters"][0]["dict_size"] <= max(4096, 2 * len(b)) for how, b in zip(made, records[:8], strict=True))
