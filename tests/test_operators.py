@@ -338,6 +338,16 @@ def test_greedy_pickers_go_on_beyond_the_largest_pool(spark, monkeypatch):
     assert dictionary.priming(df, "diverse", 60) == slow_diverse(rows, 60)
 
 
+def test_few_candidates_reach_the_driver(spark, monkeypatch):
+    rows = [(i, list(f"{i}|{'click' if i % 2 else 'purchase'}|{i % 7}".encode())) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, tokens array<int>")
+    monkeypatch.setattr(dictionary, "MOST_POOL", 16)
+    sent, receive = [], dictionary.Pool.receive
+    monkeypatch.setattr(dictionary.Pool, "receive", lambda self, group, found, more, hot: (sent.append(len(found)), receive(self, group, found, more, hot))[1])
+    assert dictionary.priming(df, "cover", 200) == slow_cover(rows, 200, 256, 8, 0.3)
+    assert sum(sent) < 1000
+
+
 def test_small_scans_are_dealt_out(spark, tmp_path):
     from lexpack.session import spread
 
