@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -62,12 +63,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame, steady: bool = False) -> DataFrame:
-    """``df`` dealt out over all cores where its scan has fewer partitions than the cluster has cores (a file of one row group, say); else ``df``.
+    """``df`` dealt out over all cores where its scan has fewer partitions than the cluster has cores, or one with over twice a core's share; else ``df``.
 
+    A file is split by its bytes, but a row group is read by one task: of the many splits of one large row group all but one are empty.
     ``steady``: the dealt rows are stored, so that partitions come out alike when they are read again.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    cores, n = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if n >= cores and not _lopsided(df, cores):
         return df
-    dealt = df.repartition(cores)
+    dealt = df.repartition(max(n, cores))
     return stored(dealt, "spread") if steady else dealt
+
+
+def _lopsided(df: DataFrame, cores: int) -> bool:
+    """Whether a partition of a scan has over twice a core's share of the rows; Parquet's footers have the counts."""
+    each = df.groupBy(F.spark_partition_id().alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    seen = each.agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    return bool(seen.n) and seen.most > 1 and seen.most * cores > 2 * seen.n

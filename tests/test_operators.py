@@ -361,6 +361,23 @@ def test_small_scans_are_dealt_out(spark, tmp_path):
     assert spread(wide) is wide
 
 
+def test_one_row_group_of_many_splits_is_dealt_out(spark, tmp_path):
+    """Splits beyond the number of cores, of which one has all rows."""
+    from lexpack.session import spread
+
+    path, cores, key = str(tmp_path / "group"), spark.sparkContext.defaultParallelism, "spark.sql.files.maxPartitionBytes"
+    spark.range(20000).selectExpr("id", "sha2(cast(id as string), 256) as x").coalesce(1).write.parquet(path)
+    spark.conf.set(key, "65536")
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() > cores
+        for steady in (False, True):
+            each = spread(df, steady).groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert sum(r["count"] for r in each) == 20000 and max(r["count"] for r in each) * cores <= 2 * 20000
+    finally:
+        spark.conf.unset(key)
+
+
 def test_merges_on_the_cluster_are_those_on_the_driver(spark):
     r = __import__("random").Random(4)
     words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 9))) for _ in range(300)] + ["aaaaaaa", "bb"] * 5
