@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexpack.functions import lz
 from lexpack.functions.ans import Table
@@ -31,6 +35,8 @@ POOL, MOST_POOL = 256, 1024
 FEW, HOT = 16, (4, 16, 64, 256)
 #: Scores are equal to so much whatever the order of their sums.
 NEAR = 1e-6
+#: D-mers of a block of rows and of a range of hashes.
+BLOCK, BUCKET = 1 << 20, 1 << 21
 #: Hashes of texts whose texts are counted.
 AHEAD = 100_000
 PICKERS = ("concat", "coverage", "diverse", "cover")
@@ -139,23 +145,167 @@ def segments(rows: DataFrame, keep: list[str], ids: str = "tokens", length: int
     return rows.where(n > 0).select(*keep, ids, F.explode(starts).alias("start")).select(*keep, "start", F.slice(ids, F.col("start") + 1, length).alias("tokens"))
 
 
-def segment_scores(rows: DataFrame, key: str = "id", ids: str = "tokens", length: int = SEGMENT, d: int = DMER) -> DataFrame:
+def segment_scores(rows: DataFrame, key: str = "id", ids: str = "tokens", length: int = SEGMENT, d: int = DMER, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """(key, start, score): the sum of ln(1 + frequency) over a segment's d-mers.
 
-    Every d-mer is cut out once and known by 96 bits of hashes from there on; its frequency goes to the one or two segments that
-    hold it.
+    A task takes blocks of rows of some ``block`` d-mers and sends each distinct one as 96 bits of hashes with its count in the block, in order and
+    by ranges of hashes, so that a range holds some ``bucket`` of them. A range's task sums the counts and answers each block, and which of its
+    d-mers is where goes along with the block. What travels is arrays, neither a row a d-mer nor sorted by Spark.
     """
-    step, n = max(1, length // 2), F.size(ids)
-    count = F.when(n <= length, 1).otherwise(F.ceil((n - length) / step) + 1).cast("int")
-    at = F.when(n >= d, F.sequence(F.lit(1), n - (d - 1))).otherwise(F.array().cast("array<int>"))
-    each = rows.select(key, ids, count.alias("__c"), F.explode(at).alias("__p")).withColumn("__d", F.slice(ids, F.col("__p"), d))
-    each = each.select(key, "__c", (F.col("__p") - 1).alias("__p"), F.xxhash64("__d").alias("__x"), F.hash("__d").alias("__y"))
-    freq = each.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("n"))
-    first = F.greatest(F.ceil((F.col("__p") + d - length) / step), F.lit(0)).cast("int")
-    last = F.least(F.floor(F.col("__p") / step), F.col("__c") - 1).cast("int")
-    held = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    # A d-mer that a segment's end cuts is in the next segment whole.
-    return each.join(freq, ["__x", "__y"]).select(key, "n", F.explode(held).alias("__k")).groupBy(key, (F.col("__k") * step).alias("start")).agg(F.round(F.sum(F.log1p("n")), 6).alias("score"))
+    rows = rows.where(F.size(ids) >= d).select(key, ids)
+    total = rows.agg(F.sum(F.size(ids) - (d - 1))).first()[0] or 0
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(total / bucket))
+    keys = T.ArrayType(rows.schema[key].dataType)
+    sent = T.StructType([T.StructField("to", T.IntegerType()), T.StructField("block", T.StringType()), T.StructField("first", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("keys", keys), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
+    step = max(1, length // 2)
+    scores = T.StructType([rows.schema[key], T.StructField("start", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    hashed = rows.select(key, F.transform(ids, lambda t: F.xxhash64(t)).alias("h"))
+    asked = hashed.mapInArrow(lambda batches: _asked(batches, d, block, n), sent).repartition(n, "to")
+    told = asked.mapInArrow(_told, sent).repartition(n, "block")
+    found = told.mapInArrow(lambda batches: _scores(batches, length, step, d), scores)
+    return found.groupBy(key, "start").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones first: what is alike in them is then side by side for the exchange's compression."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unplaned(blob: bytes, at: int, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel()
+
+
+def _mixed(h: np.ndarray, d: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of every d neighbours."""
+    odd, x = np.random.default_rng(seed).integers(0, 1 << 63, d, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.zeros(len(h) - d + 1, np.uint64)
+    for j in range(d):
+        x += h[j : len(h) - d + 1 + j] * odd[j]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs, and where in it each distinct one begins."""
+    o = np.argsort(a)
+    same = a[o[1:]] == a[o[:-1]]
+    other = b[o[1:]] != b[o[:-1]]
+    if (same & other).any():
+        o = np.lexsort((b, a))
+        same, other = a[o[1:]] == a[o[:-1]], b[o[1:]] != b[o[:-1]]
+    return o, np.flatnonzero(np.concatenate(([True] if len(a) else [], ~same | other)))
+
+
+def _rows(sent: list[tuple], keys: pa.Array | None, kind: pa.DataType) -> pa.RecordBatch:
+    """Rows (to, block, first, blob, sizes) of d-mers or frequencies, or with ``keys`` a block's only one."""
+    to, block, first, blob, sizes = zip(*sent, strict=True)
+    held = pa.nulls(len(sent), pa.list_(kind)) if keys is None else pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(block, pa.string()), pa.array(first, pa.int64()), pa.array(blob, pa.binary()), held, pa.array(sizes, pa.list_(pa.int32()))], ["to", "block", "first", "blob", "keys", "sizes"])
+
+
+def _asked(batches, d: int, block: int, n: int):
+    """Of each block its distinct d-mers by range, and a row of its keys, sizes and places."""
+    from pyspark import TaskContext
+
+    task, made = TaskContext.get().partitionId(), 0
+    keys, hashes, sizes, many = [], [], [], 0
+
+    def whole():
+        own, h, size = pa.concat_arrays(keys), np.concatenate(hashes), np.concatenate(sizes)
+        m = size - (d - 1)
+        begin, at = np.cumsum(size) - size, np.cumsum(m) - m
+        places = np.arange(m.sum()) + np.repeat(begin - at, m)
+        a, b = _mixed(h, d, 1)[places], _mixed(h, d, 2)[places].astype(np.uint32)
+        o, first = _alike(a, b)
+        rank = np.zeros(len(o), np.int32)
+        rank[first] = 1
+        place = np.empty(len(o), np.int32)
+        place[o] = np.cumsum(rank, dtype=np.int32) - 1
+        a, b, counts = a[o[first]], b[o[first]], np.diff(np.append(first, len(o)))
+        # A block made of other rows has another name: if rows come in another order when a task runs again, answers don't fit and the job fails.
+        name = f"{task}-{made}-{zlib.crc32(a.tobytes()):08x}-{zlib.crc32(place.tobytes()):08x}"
+        to = ((a >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
+        yield _rows([(int(to[i]), name, int(i), _planes(a[i:j]) + _planes(b[i:j]) + _planes(counts[i:j]), None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], None, own.type)
+        yield _rows([(zlib.crc32(name.encode()) % n, name, -len(a), _planes(place), size.tolist())], own, own.type)
+
+    for batch in batches:
+        lists = batch.column(1)
+        values, size = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        ends, i = np.cumsum(size), 0
+        held = np.cumsum(size - (d - 1))
+        while i < len(size):
+            # Up to the row that fills the block.
+            j = min(len(size), int(np.searchsorted(held, (held[i - 1] if i else 0) + block - many)) + 1)
+            keys.append(batch.column(0).slice(i, j - i))
+            hashes.append(values[ends[i] - size[i] : ends[j - 1]])
+            sizes.append(size[i:j])
+            many += int(held[j - 1] - (held[i - 1] if i else 0))
+            i = j
+            if many >= block:
+                yield from whole()
+                keys, hashes, sizes, many, made = [], [], [], 0, made + 1
+    if keys:
+        yield from whole()
+
+
+def _told(batches):
+    """To each block the frequencies of its d-mers, range by range; a block's own rows go on."""
+    kind, ranges = None, {}
+    for batch in batches:
+        kind = batch.schema.field("keys").type.value_type
+        first = batch.column(2).to_numpy()
+        own = np.flatnonzero(first < 0)
+        if len(own):
+            yield batch.take(pa.array(own))
+        to, block, blob = batch.column(0).to_numpy(), batch.column(1), batch.column(3)
+        for i in np.flatnonzero(first >= 0):
+            ranges.setdefault(int(to[i]), []).append((block[int(i)].as_py(), int(first[i]), blob[int(i)].as_py()))
+    while ranges:
+        _, asked = ranges.popitem()
+        many = [len(x) // 20 for _, _, x in asked]
+        a, b, counts = (np.concatenate([_unplaned(x, at * m, m, t) for (_, _, x), m in zip(asked, many, strict=True)]) for at, t in ((0, np.uint64), (8, np.uint32), (12, np.int64)))
+        o, first = _alike(a, b)
+        n = np.empty(len(o), np.int64)
+        n[o] = np.repeat(np.add.reduceat(counts[o], first), np.diff(np.append(first, len(o))))
+        ends = np.cumsum(many)
+        yield _rows([(0, block, at, _planes(n[e - m : e]), None) for (block, at, _), m, e in zip(asked, many, ends, strict=True)], None, kind)
+
+
+def _scores(batches, length: int, step: int, d: int):
+    """The scores of the segments of each block's rows, once all its frequencies are there."""
+    own, told, have = {}, {}, {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, block, first, blob = (batch.column(k)[i].as_py() for k in range(4))
+            if first < 0:
+                own[block] = (-first, blob, batch.column(4)[i].values, batch.column(5)[i].values.to_numpy().astype(np.int64))
+            else:
+                told.setdefault(block, []).append((first, blob))
+                have[block] = have.get(block, 0) + len(blob) // 8
+            if block not in own or have.get(block, 0) != own[block][0]:
+                continue
+            distinct, places, keys, size = own.pop(block)
+            n = np.zeros(distinct, np.int64)
+            for at, x in told.pop(block):
+                n[at : at + len(x) // 8] = _unplaned(x, 0, len(x) // 8, np.int64)
+            m = size - (d - 1)
+            w = np.append(np.log1p(n)[_unplaned(places, 0, len(places) // 4, np.int32)], 0.0)
+            c = np.where(size <= length, 1, -(-(size - length) // step) + 1)
+            row = np.repeat(np.arange(len(size)), c)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)
+            # A d-mer that a segment's end cuts is in the next segment whole.
+            low, high = k * step, np.minimum(k * step + length, size[row]) - d
+            keep = high >= low
+            row, k, low, high = row[keep], k[keep], low[keep], high[keep]
+            if not len(row):
+                continue
+            at = (np.cumsum(m) - m)[row]
+            sums = np.add.reduceat(w, np.stack((at + low, at + high + 1), 1).ravel())[::2]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array((k * step).astype(np.int32)), pa.array(sums)], ["key", "start", "score"])
+    if own or told:
+        raise RuntimeError("frequencies of a block are missing: its rows came in another order when they were read again")
 
 
 def _take(picked: list[list[int]], most: int) -> list[int]:

@@ -23,14 +23,14 @@ from lexpack.sources import files
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, steady: bool = False) -> DataFrame:
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"), steady)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, steady: bool = False) -> DataFrame:
     """Documents as (id, source, text, data); null texts are empty records."""
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", text.alias("text"), F.encode(text, "UTF-8").alias("data"))
+    return table(spark, sf_dir, "documents", steady).select(F.col("doc_id").alias("id"), "source", text.alias("text"), F.encode(text, "UTF-8").alias("data"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +241,8 @@ def priming_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("before", before).where(F.col("before") < dictionary.PRIMING).select("id", taken.cast("long").alias("taken"))
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("id", tokens.pieces(F.col("text")).alias("tokens"))
+def _pieces(spark: SparkSession, sf_dir: str, steady: bool = False) -> DataFrame:
+    return records(spark, sf_dir, steady).select("id", tokens.pieces(F.col("text")).alias("tokens"))
 
 
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ def segment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each segment's score by the frequency of its runs of eight pieces."""
-    found = dictionary.segment_scores(_pieces(spark, sf_dir))
+    found = dictionary.segment_scores(_pieces(spark, sf_dir, steady=True))
     return found.select("id", F.col("start").cast("long").alias("start"), "score")
 
 

@@ -361,6 +361,41 @@ def test_small_scans_are_dealt_out(spark, tmp_path):
     assert spread(wide) is wide
 
 
+@pytest.mark.parametrize(("block", "bucket", "length", "d"), [(1 << 20, 1 << 21, 16, 4), (40, 30, 16, 4), (1, 5, 7, 3), (100, 1000, 3, 5), (25, 50, 1, 1)])
+def test_segment_scores_by_blocks(spark, block, bucket, length, d):
+    """Keys that repeat or are null, rows of few tokens and copies; sums do not depend on how rows are cut into blocks."""
+    r = __import__("random").Random(6)
+    rows = [(r.choice([None, *range(60)]), None if r.random() < 0.1 else [r.choice("abc") for _ in range(r.choice((0, 1, 3, 4, 5, 16, 17, 40, 90)))]) for _ in range(150)]
+    rows += [(100 + i, list("abcabcabca") * 4) for i in range(30)]
+    freq = __import__("collections").Counter(tuple(t[i : i + d]) for _, t in rows if t for i in range(len(t) - d + 1))
+    want: dict = {}
+    step = max(1, length // 2)
+    for key, t in rows:
+        for k in range(0 if not t else 1 if len(t) <= length else -(-(len(t) - length) // step) + 1):
+            own = t[k * step : k * step + length]
+            if len(own) >= d:
+                want[key, k * step] = want.get((key, k * step), 0) + sum(math.log1p(freq[tuple(own[i : i + d])]) for i in range(len(own) - d + 1))
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(5, "id")
+    made = dictionary.segment_scores(df, length=length, d=d, block=block, bucket=bucket)
+    found = {(x.id, x.start): x.score for x in made.collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+    assert made.dtypes == [("id", "bigint"), ("start", "int"), ("score", "double")]
+
+
+def test_segment_scores_exchange_arrays(spark, sf_dir):
+    """No row a d-mer, no join; a block whose answers don't come fails the job."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexpack.plans import queries
+
+    plan = queries.queries()["segment_scores"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "explode" not in plan and "Join" not in plan
+    row = dictionary._rows([(0, "0-0", -3, dictionary._planes(np.arange(3, dtype=np.int32)), [10])], pa.array([7]), pa.int64())
+    with pytest.raises(RuntimeError, match="missing"):
+        list(dictionary._scores(iter([row]), 256, 128, 8))
+
+
 def test_one_row_group_of_many_splits_is_dealt_out(spark, tmp_path):
     """Splits beyond the number of cores, of which one has all rows."""
     from lexpack.session import spread
