@@ -148,20 +148,23 @@ def segments(rows: DataFrame, keep: list[str], ids: str = "tokens", length: int
 def segment_scores(rows: DataFrame, key: str = "id", ids: str = "tokens", length: int = SEGMENT, d: int = DMER, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """(key, start, score): the sum of ln(1 + frequency) over a segment's d-mers.
 
-    A task takes blocks of rows of some ``block`` d-mers and sends each distinct one as 96 bits of hashes with its count in the block, in order and
-    by ranges of hashes, so that a range holds some ``bucket`` of them. A range's task sums the counts and answers each block, and which of its
-    d-mers is where goes along with the block. What travels is arrays, neither a row a d-mer nor sorted by Spark.
+    A task takes blocks of rows of some ``block`` d-mers and sends each distinct one as 80 bits of hashes with its count in the block, in order and
+    by ranges of hashes, so that a range holds some ``bucket`` of them. A range's task sums the counts and answers each block, which meets a second
+    reading of its rows that says which of its d-mers is where. What travels is arrays, neither a row a d-mer nor sorted by Spark. Both readings
+    must cut the same blocks, so rows that come out of an exchange are stored first.
     """
     rows = rows.where(F.size(ids) >= d).select(key, ids)
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = stored(rows, "segments")
     total = rows.agg(F.sum(F.size(ids) - (d - 1))).first()[0] or 0
     n = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(total / bucket))
     keys = T.ArrayType(rows.schema[key].dataType)
     sent = T.StructType([T.StructField("to", T.IntegerType()), T.StructField("block", T.StringType()), T.StructField("first", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("keys", keys), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
     step = max(1, length // 2)
     scores = T.StructType([rows.schema[key], T.StructField("start", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    hashed = rows.select(key, F.transform(ids, lambda t: F.xxhash64(t)).alias("h"))
-    asked = hashed.mapInArrow(lambda batches: _asked(batches, d, block, n), sent).repartition(n, "to")
-    told = asked.mapInArrow(_told, sent).repartition(n, "block")
+    hashed = rows.select(key, F.transform(ids, lambda t: F.xxhash64(t)).alias("h"), F.spark_partition_id().alias("task"))
+    asked, own = (hashed.mapInArrow(lambda batches, own=own: _asked(batches, d, block, n, own), sent) for own in (False, True))
+    told = asked.repartition(n, "to").mapInArrow(_told, sent).union(own).repartition(n, "block")
     found = told.mapInArrow(lambda batches: _scores(batches, length, step, d), scores)
     return found.groupBy(key, "start").agg(F.round(F.sum("score"), 6).alias("score"))
 
@@ -204,34 +207,36 @@ def _rows(sent: list[tuple], keys: pa.Array | None, kind: pa.DataType) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(block, pa.string()), pa.array(first, pa.int64()), pa.array(blob, pa.binary()), held, pa.array(sizes, pa.list_(pa.int32()))], ["to", "block", "first", "blob", "keys", "sizes"])
 
 
-def _asked(batches, d: int, block: int, n: int):
-    """Of each block its distinct d-mers by range, and a row of its keys, sizes and places."""
-    from pyspark import TaskContext
-
-    task, made = TaskContext.get().partitionId(), 0
+def _asked(batches, d: int, block: int, n: int, places: bool):
+    """Of each block its distinct d-mers by range, or (``places``) a row of its keys, sizes and places."""
+    task, made = 0, 0
     keys, hashes, sizes, many = [], [], [], 0
 
     def whole():
         own, h, size = pa.concat_arrays(keys), np.concatenate(hashes), np.concatenate(sizes)
         m = size - (d - 1)
         begin, at = np.cumsum(size) - size, np.cumsum(m) - m
-        places = np.arange(m.sum()) + np.repeat(begin - at, m)
-        a, b = _mixed(h, d, 1)[places], _mixed(h, d, 2)[places].astype(np.uint32)
+        begins = np.arange(m.sum()) + np.repeat(begin - at, m)
+        a, b = _mixed(h, d, 1)[begins], _mixed(h, d, 2)[begins].astype(np.uint16)
         o, first = _alike(a, b)
         rank = np.zeros(len(o), np.int32)
         rank[first] = 1
         place = np.empty(len(o), np.int32)
         place[o] = np.cumsum(rank, dtype=np.int32) - 1
         a, b, counts = a[o[first]], b[o[first]], np.diff(np.append(first, len(o)))
-        # A block made of other rows has another name: if rows come in another order when a task runs again, answers don't fit and the job fails.
+        # A block made of other rows has another name: if rows come in another order when they are read again, answers don't fit and the job fails.
         name = f"{task}-{made}-{zlib.crc32(a.tobytes()):08x}-{zlib.crc32(place.tobytes()):08x}"
+        if places:
+            yield _rows([(0, name, -len(a), _planes(place), size.tolist())], own, own.type)
+            return
         to = ((a >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
-        yield _rows([(int(to[i]), name, int(i), _planes(a[i:j]) + _planes(b[i:j]) + _planes(counts[i:j]), None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], None, own.type)
-        yield _rows([(zlib.crc32(name.encode()) % n, name, -len(a), _planes(place), size.tolist())], own, own.type)
+        yield _rows([(int(to[i]), name, int(i), _planes(np.diff(a[i:j], prepend=np.uint64(0))) + _planes(b[i:j]) + _planes(counts[i:j]), None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], None, own.type)
 
     for batch in batches:
-        lists = batch.column(1)
+        if not batch.num_rows:
+            continue
+        task, lists = batch.column(2)[0].as_py(), batch.column(1)
         values, size = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
         ends, i = np.cumsum(size), 0
         held = np.cumsum(size - (d - 1))
@@ -251,21 +256,17 @@ def _asked(batches, d: int, block: int, n: int):
 
 
 def _told(batches):
-    """To each block the frequencies of its d-mers, range by range; a block's own rows go on."""
+    """To each block the frequencies of its d-mers, range by range."""
     kind, ranges = None, {}
     for batch in batches:
         kind = batch.schema.field("keys").type.value_type
-        first = batch.column(2).to_numpy()
-        own = np.flatnonzero(first < 0)
-        if len(own):
-            yield batch.take(pa.array(own))
-        to, block, blob = batch.column(0).to_numpy(), batch.column(1), batch.column(3)
-        for i in np.flatnonzero(first >= 0):
-            ranges.setdefault(int(to[i]), []).append((block[int(i)].as_py(), int(first[i]), blob[int(i)].as_py()))
+        for to, block, first, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            ranges.setdefault(to, []).append((block, first, blob))
     while ranges:
         _, asked = ranges.popitem()
-        many = [len(x) // 20 for _, _, x in asked]
-        a, b, counts = (np.concatenate([_unplaned(x, at * m, m, t) for (_, _, x), m in zip(asked, many, strict=True)]) for at, t in ((0, np.uint64), (8, np.uint32), (12, np.int64)))
+        many = [len(x) // 18 for _, _, x in asked]
+        a, b, counts = ([_unplaned(x, at * m, m, t) for (_, _, x), m in zip(asked, many, strict=True)] for at, t in ((0, np.uint64), (8, np.uint16), (10, np.int64)))
+        a, b, counts = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in a]), np.concatenate(b), np.concatenate(counts)
         o, first = _alike(a, b)
         n = np.empty(len(o), np.int64)
         n[o] = np.repeat(np.add.reduceat(counts[o], first), np.diff(np.append(first, len(o))))
